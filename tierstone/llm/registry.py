@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierstone.llm import sharding
+from tierstone.llm import decontaminate, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op6_sampled_splitters": sharding.op6_sampled_splitters,
+        "op9_ownership_frequency": secrets.op9_ownership_frequency,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontaminate": decontaminate.OP3_SQL,
         "op6_sampled_splitters": sharding.OP6_SQL,
+        "op9_ownership_frequency": secrets.OP9_SQL,
     }
