@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierstone.llm import decontaminate, secrets, sharding
+from tierstone.llm import decontaminate, quality_rules, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op5_decision_list": quality_rules.op5_decision_list,
         "op6_sampled_splitters": sharding.op6_sampled_splitters,
         "op9_ownership_frequency": secrets.op9_ownership_frequency,
     }
