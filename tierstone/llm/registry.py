@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierstone.llm import decontaminate, quality_rules, secrets, sharding
+from tierstone.llm import decontaminate, importance, near_dup, quality_rules, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_multi_index_hamming": near_dup.op2_multi_index_hamming,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_decision_list": quality_rules.op5_decision_list,
         "op6_sampled_splitters": sharding.op6_sampled_splitters,
+        "op7_importance_resampling": importance.op7_importance_resampling,
         "op9_ownership_frequency": secrets.op9_ownership_frequency,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_multi_index_hamming": near_dup.OP2_SQL,
         "op3_decontaminate": decontaminate.OP3_SQL,
         "op6_sampled_splitters": sharding.OP6_SQL,
         "op9_ownership_frequency": secrets.OP9_SQL,
