@@ -3,21 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierstone.llm import decontaminate, importance, near_dup, quality_rules, secrets, sharding
+from tierstone.llm import bpe, decontaminate, importance, near_dup, quality_rules, secrets, sharding
 
+Query = Callable[[SparkSession, str], DataFrame]
+ROOT = str(Path(__file__).resolve().parents[2])
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+
+def importable(query: Query) -> Query:
+    """Python workers import this library too, wherever the driver was started; their path is told once a session."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        if ROOT not in env.get("PYTHONPATH", "").split(":"):
+            env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), ROOT]))
+        return query(spark, sf_dir)
+
+    return run
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    found = {
         "op2_multi_index_hamming": near_dup.op2_multi_index_hamming,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_transducer_bpe": bpe.op4_transducer_bpe,
         "op5_decision_list": quality_rules.op5_decision_list,
         "op6_sampled_splitters": sharding.op6_sampled_splitters,
         "op7_importance_resampling": importance.op7_importance_resampling,
         "op9_ownership_frequency": secrets.op9_ownership_frequency,
     }
+    return {name: importable(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
