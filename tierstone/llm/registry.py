@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierstone.llm import bpe, decontaminate, importance, near_dup, quality_rules, secrets, sharding
+from tierstone.llm import bpe, decontaminate, importance, near_dup, quality_rules, range_coder, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -39,6 +39,7 @@ def queries() -> dict[str, Query]:
         "op5_decision_list": quality_rules.op5_decision_list,
         "op6_sampled_splitters": sharding.op6_sampled_splitters,
         "op7_importance_resampling": importance.op7_importance_resampling,
+        "op8_context_mixing": range_coder.op8_context_mixing,
         "op9_ownership_frequency": secrets.op9_ownership_frequency,
     }
     return {name: importable(query) for name, query in found.items()}
