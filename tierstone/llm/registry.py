@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierstone.llm import bpe, decontaminate, importance, near_dup, quality_rules, range_coder, secrets, sharding
+from tierstone.llm import bpe, decontaminate, importance, near_dup, quality_rules, range_coder, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -33,6 +33,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = {
+        "op1_transaction_assembly": warc.op1_transaction_assembly,
         "op2_multi_index_hamming": near_dup.op2_multi_index_hamming,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_transducer_bpe": bpe.op4_transducer_bpe,
@@ -47,6 +48,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_transaction_assembly": warc.OP1_SQL,
         "op2_multi_index_hamming": near_dup.OP2_SQL,
         "op3_decontaminate": decontaminate.OP3_SQL,
         "op6_sampled_splitters": sharding.OP6_SQL,
