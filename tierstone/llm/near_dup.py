@@ -5,8 +5,10 @@ pigeonhole, two signatures that differ in at most `distance` slots have a chunk
 a chunk's keys with every allowed choice of slots left out meet in at least one. Sets that are equal are joined before that, so
 copies cost one row each. Candidates that pass the distance are confirmed on full sets.
 
-Candidates within a bucket are not all paired: each is first held against the bucket's smallest id, and what that confirms
-is one component. Pairs of one component change nothing, so the second round pairs only members of different components.
+Candidates within a bucket are not all paired: each is first held against a head of the bucket, and what that confirms is one
+component. Pairs of one component change nothing, so a second round holds members of buckets that still have several
+components against other heads, and the last one pairs what is in different components even then, and nothing else. Buckets draw
+their heads by HEADS different orders: near copies of one text are often less alike than each is to some others.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SLOTS, BITS, CHUNK, DISTANCE = 48, 14, 4, 23
 #: Slots stand in lanes of 16 bits, of which the upper two stay free for counting.
 _LANE = 16
 _LANES = 64 // _LANE
+#: Orders in which buckets draw heads; bytes of sets that a confirming task remembers.
+HEADS, REMEMBERED = 16, 64 << 20
 _SEED = np.random.default_rng(20240229)
 _MUL = _SEED.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, SLOTS, dtype=np.uint64)
@@ -88,14 +92,25 @@ def _signed(n: int):
 
 def _confirmed(n: int, percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray | None] = (None, None)
+        sets: dict[tuple[int, bytes], np.ndarray] = {}
+        held = 0
+
+        def of(doc_id: int, text: bytes) -> np.ndarray:
+            nonlocal held
+            key = (doc_id, text)
+            if key not in sets:
+                if held > REMEMBERED:
+                    sets.clear()
+                    held = 0
+                sets[key] = shingle_set(text, n)
+                held += sets[key].nbytes + len(text) + 200
+            return sets[key]
+
         for batch in batches:
             ok = []
-            for v, tu, tv in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last[0] != v:
-                    last = (v, shingle_set(tv.as_py(), n))
-                a, b = shingle_set(tu.as_py(), n), last[1]
-                both = len(np.intersect1d(a, b, assume_unique=True))
+            for u, v, tu, tv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = of(u, tu), of(v, tv)
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
@@ -147,8 +162,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, scr
     ids = scratch.save(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
     small = ids.count() <= BROADCAST_IDS
     needed = scratch.save(texts.join(F.broadcast(ids) if small else ids, "id", "left_semi"), "texts")
-    both = pairs.join(needed.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(needed.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-    out = scratch.save(both.select("u", "v", "tu", "tv").sortWithinPartitions("v").mapInArrow(_confirmed(shingle, percent), "u long, v long").distinct(), "links")
+    both = pairs.join(needed.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v").join(needed.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
+    out = scratch.save(both.select("u", "v", "tu", "tv").mapInArrow(_confirmed(shingle, percent), "u long, v long").distinct(), "links")
     scratch.drop(ids, needed)
     return out
 
@@ -172,36 +187,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig"))
     sets = scratch.save(sets, "sets")
     keyed = sets.select("rep", F.explode(bucket_keys()).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").drop("tail")
+    def head(turn: int) -> Column:
+        return F.min_by("rep", F.xxhash64(F.lit(turn), F.pmod("key", F.lit(HEADS)), "rep")).alias("head")
+
+    heads = keyed.groupBy("key").agg(head(1), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "head")
     members = scratch.save(keyed.join(heads, "key"), "members")
 
     a = sets.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
     b = sets.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
     close = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv) AND {slots_apart('su', 'sv')} <= {DISTANCE}")
-    first = members.where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
-    first = scratch.save(first.join(a, "u").join(b, "v").where(close).select("u", "v").distinct(), "first")
-    links = _confirm(first, texts, shingle, percent, scratch)
+    ordered = lambda pairs: pairs.select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v")).distinct()
+    tried = ordered(members.where("rep <> head"))
+    tried = scratch.save(tried.join(a, "u").join(b, "v").where(close).select("u", "v"), "tried")
+    links = _confirm(tried, texts, shingle, percent, scratch)
+    comps = scratch.save(connected_components(links, scratch), "components")
+
+    def mixed_buckets() -> DataFrame:
+        """key, rep, comp, head of the buckets whose members are in several components so far."""
+        now = members.select("key", "rep").join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        split = now.groupBy("key").agg(head(2), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "head")
+        return scratch.save(now.join(split, "key"), "mixed")
+
+    # the second round: other heads, in buckets that need them
+    mixed = mixed_buckets()
+    heads = mixed.where("rep = head").select("key", F.col("comp").alias("head_comp")).distinct()
+    more = ordered(mixed.join(heads, "key").where("comp <> head_comp")).join(tried, ["u", "v"], "left_anti")
+    more = scratch.save(more.join(a, "u").join(b, "v").where(close).select("u", "v"), "tried")
+    links, tried = scratch.save(links.union(_confirm(more, texts, shingle, percent, scratch)), "links"), tried.union(more)
     comps = scratch.save(connected_components(links, scratch), "components")
 
-    # the second round: members of one bucket, close in size and signature, that the first left in different components
-    mixed = members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    split = mixed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    mixed = scratch.save(mixed.join(split, "key"), "mixed")
+    # the last round: members of one bucket, close in size and signature, that are in different components still
+    mixed = mixed_buckets()
     sized = mixed.join(sets.select("rep", "n", "sig"), "rep").withColumn("step", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
     left = sized.select("key", "step", F.col("rep").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("sig").alias("su"))
     right = sized.select("key", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.col("rep").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
-    second = left.join(right, (left["key"] == right["key"]) & (left["step"] == right["step"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & close).select("u", "v").distinct()
-    second = scratch.save(second.join(first, ["u", "v"], "left_anti"), "second")
-    more = _confirm(second, texts, shingle, percent, scratch)
+    rest = left.join(right, (left["key"] == right["key"]) & (left["step"] == right["step"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & close).select("u", "v").distinct()
+    rest = scratch.save(rest.join(tried, ["u", "v"], "left_anti"), "rest")
+    last = _confirm(rest, texts, shingle, percent, scratch)
 
     # ids of several texts join what each of them links to
     placed = scratch.save(usable.select("doc_id", "digest").join(sets.select("digest", "rep"), "digest").select("doc_id", "digest", "rep"), "placed")
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
     same = placed.join(several, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    final = scratch.save(connected_components(links.union(more).union(same), scratch), "final")
+    final = scratch.save(connected_components(links.union(last).union(same), scratch), "final")
     named = placed.join(final, placed["rep"] == final["node"], "left").select("doc_id", F.coalesce("comp", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
     named = scratch.save(named, "named")
-    scratch.drop(sets, members, first, links, comps, mixed, second, more, placed, final)
+    scratch.drop(sets, members, links, comps, mixed, more, rest, last, placed, final)
     out = signed.select("doc_id", "n_shingles", F.col("digest").isNotNull().alias("some")).join(named, "doc_id", "left")
     component = F.when(F.col("some"), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -213,7 +244,8 @@ def op2_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> ''), []::VARCHAR[]) AS w FROM documents
+  SELECT doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> ''), []::VARCHAR[]) AS w FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM d
 ), g AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
