@@ -76,3 +76,12 @@ def split_words(text: Column, separators: str) -> Column:
 def own_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Only the named columns, under the operator's own names: extra columns of the caller cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
+
+
+#: Rows of ids or short values that may be broadcast: 8 to 100 bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count shows that it has few rows; else Spark plans the join by size. df should be a written table, for the count reads it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierstone.llm import bpe, decontaminate, importance, near_dup, quality_rules, range_coder, secrets, sharding, warc
+from tierstone.llm import bpe, decontaminate, importance, near_dup, pii, quality_rules, range_coder, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -42,6 +42,8 @@ def queries() -> dict[str, Query]:
         "op7_importance_resampling": importance.op7_importance_resampling,
         "op8_context_mixing": range_coder.op8_context_mixing,
         "op9_ownership_frequency": secrets.op9_ownership_frequency,
+        "op10_surrogates": pii.op10_surrogates,
+        "pipeline": _pipeline,
     }
     return {name: importable(query) for name, query in found.items()}
 

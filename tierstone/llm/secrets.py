@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.llm.common import Scratch, own_columns, table
+from tierstone.llm.common import Scratch, broadcast_few, own_columns, table
 
 #: Java patterns. `least`: characters that a match (assign: its group 2) needs.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -100,7 +100,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     marked = scratch.save(docs.select("*", F.monotonically_increasing_id().alias("row__")), "docs")
     scanned = scan(marked, id_col, text_col, repository_col, owner_col, keep=("row__",))
     rows = scratch.save(_hashed(scanned.withColumn("row", F.col("keep_row__"))).where((F.size("base") > 0) | (F.size("more") > 0)), "scanned")
-    spans = _judged(rows, MANY_OWNERS, MANY_REPOSITORIES).select(F.col("row").alias("row__"), "spans")
+    spans = broadcast_few(scratch.save(_judged(rows, MANY_OWNERS, MANY_REPOSITORIES).select(F.col("row").alias("row__"), "spans"), "spans"))
     merged = (
         "aggregate(spans, cast(array() AS array<struct<start:int,end:int>>), (a, x) -> CASE"
         " WHEN size(a) > 0 AND element_at(a, -1).end > x.start THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).end, x.end) AS end)))"
