@@ -6,9 +6,9 @@ a chunk's keys with every allowed choice of slots left out meet in at least one.
 copies cost one row each. Candidates that pass the distance are confirmed on full sets.
 
 Candidates within a bucket are not all paired: each is first held against a head of the bucket, and what that confirms is one
-component. Pairs of one component change nothing, so a second round holds members of buckets that still have several
-components against other heads, and the last one pairs what is in different components even then, and nothing else. Buckets draw
-their heads by HEADS different orders: near copies of one text are often less alike than each is to some others.
+component. Pairs of one component change nothing, so a last round pairs those members of a bucket that are in different
+components then, and nothing else. Buckets draw their heads by HEADS different orders, for near copies of one text are often
+less alike than each is to some others: a member that one head misses has as many more to meet.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SLOTS, BITS, CHUNK, DISTANCE = 48, 14, 4, 23
 _LANE = 16
 _LANES = 64 // _LANE
 #: Orders in which buckets draw heads; bytes of sets that a confirming task remembers.
-HEADS, REMEMBERED = 16, 64 << 20
+HEADS, REMEMBERED = 24, 64 << 20
 _SEED = np.random.default_rng(20240229)
 _MUL = _SEED.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, SLOTS, dtype=np.uint64)
@@ -137,18 +137,18 @@ def slots_apart(a: str, b: str) -> str:
 
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
     """node, comp (the smallest node it reaches) for each node of edges (u, v), by large and small stars in turn until nothing changes. Each round is written, so lineage stays short; the driver sees a count and a checksum."""
-    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     seal = F.struct(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)))
-    was = now.select(seal).first()[0]
-    for _ in range(rounds):
+    was = None
+    for turn in range(rounds):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.save(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
         small = scratch.save(small, "small")
-        scratch.drop(now, large)
+        scratch.drop(large, *([now] if turn else []))
         now, last, was = small, was, small.select(seal).first()[0]
         if last == was:
             break
@@ -187,10 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig"))
     sets = scratch.save(sets, "sets")
     keyed = sets.select("rep", F.explode(bucket_keys()).alias("key"))
-    def head(turn: int) -> Column:
-        return F.min_by("rep", F.xxhash64(F.lit(turn), F.pmod("key", F.lit(HEADS)), "rep")).alias("head")
-
-    heads = keyed.groupBy("key").agg(head(1), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "head")
+    head = F.min_by("rep", F.xxhash64(F.pmod("key", F.lit(HEADS)), "rep")).alias("head")
+    heads = keyed.groupBy("key").agg(head, F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "head")
     members = scratch.save(keyed.join(heads, "key"), "members")
 
     a = sets.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
@@ -202,23 +200,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirm(tried, texts, shingle, percent, scratch)
     comps = scratch.save(connected_components(links, scratch), "components")
 
-    def mixed_buckets() -> DataFrame:
-        """key, rep, comp, head of the buckets whose members are in several components so far."""
-        now = members.select("key", "rep").join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        split = now.groupBy("key").agg(head(2), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "head")
-        return scratch.save(now.join(split, "key"), "mixed")
-
-    # the second round: other heads, in buckets that need them
-    mixed = mixed_buckets()
-    heads = mixed.where("rep = head").select("key", F.col("comp").alias("head_comp")).distinct()
-    more = ordered(mixed.join(heads, "key").where("comp <> head_comp")).join(tried, ["u", "v"], "left_anti")
-    more = scratch.save(more.join(a, "u").join(b, "v").where(close).select("u", "v"), "tried")
-    links, tried = scratch.save(links.union(_confirm(more, texts, shingle, percent, scratch)), "links"), tried.union(more)
-    comps = scratch.save(connected_components(links, scratch), "components")
-
     # the last round: members of one bucket, close in size and signature, that are in different components still
-    mixed = mixed_buckets()
-    sized = mixed.join(sets.select("rep", "n", "sig"), "rep").withColumn("step", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    now = members.select("key", "rep").join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    mixed = scratch.save(now.join(split, "key"), "mixed")
+    sized = mixed.join(sets.select("rep", "n", "sig"), "rep").withColumn("step", F.floor(F.log("n") / (F.log(F.lit(100 / percent)) * 1.01)).cast("int"))
     left = sized.select("key", "step", F.col("rep").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("sig").alias("su"))
     right = sized.select("key", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.col("rep").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
     rest = left.join(right, (left["key"] == right["key"]) & (left["step"] == right["step"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & close).select("u", "v").distinct()
@@ -229,10 +215,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = scratch.save(usable.select("doc_id", "digest").join(sets.select("digest", "rep"), "digest").select("doc_id", "digest", "rep"), "placed")
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
     same = placed.join(several, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    final = scratch.save(connected_components(links.union(last).union(same), scratch), "final")
+    added = scratch.save(last.union(same), "added")
+    final = comps if added.isEmpty() else scratch.save(connected_components(links.union(added), scratch), "final")
     named = placed.join(final, placed["rep"] == final["node"], "left").select("doc_id", F.coalesce("comp", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
     named = scratch.save(named, "named")
-    scratch.drop(sets, members, links, comps, mixed, more, rest, last, placed, final)
+    scratch.drop(sets, members, tried, links, comps, mixed, rest, last, added, placed, *([] if final is comps else [final]))
     out = signed.select("doc_id", "n_shingles", F.col("digest").isNotNull().alias("some")).join(named, "doc_id", "left")
     component = F.when(F.col("some"), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
