@@ -40,7 +40,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids, as strings), spans (word positions [start, end), merged) for each row of docs.
 
-    keep: further columns of docs to carry. A word inside any occurrence of a window is hit. Null and empty texts have no
+    keep: columns of docs to carry, as keep_<name>. A word inside any occurrence of a window is hit. Null and empty texts have no
     words. Items without an id hit but are not listed; without words they do nothing. Repeated rows are judged one by one.
     """
     grams = benchmark_windows(benchmark, item_col, item_text_col, window)
@@ -95,14 +95,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         "n_words",
         F.expr(merge).alias("spans"),
         "items",
-        *[F.col(f"keep_{c}").alias(c) for c in keep],
+        *kept,
     ).select(
         "doc_id",
         "n_words",
         F.expr("cast(aggregate(spans, 0, (a, s) -> a + s.end - s.start) AS bigint)").alias("n_hit"),
         "items",
         "spans",
-        *keep,
+        *kept,
     )
 
 
@@ -119,18 +119,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     cols = docs.columns
     found = find_contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, keep=tuple(cols))
+    back = lambda text: [(text if c == text_col else F.col(f"`keep_{c}`")).alias(c) for c in cols]
+    own = F.col(f"`keep_{text_col}`")
     if mode == "documents":
-        return found.where(~is_contaminated()).select(*cols)
+        return found.where(~is_contaminated()).select(*back(own))
     if mode != "spans":
         raise ValueError(f"mode {mode!r} is neither documents nor spans")
-    # pieces alternate: separator, word, separator, ...; the words are found in the text itself, so that their case stays
-    own = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    gaps, pieces = F.split(F.col(f"`{text_col}`"), own), F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(own), F.lit(0))
-    rebuilt = found.withColumn("gaps_", gaps).withColumn("pieces_", pieces)
-    hit_word = "exists(spans, s -> s.start <= i AND i < s.end)"
-    both = "exists(spans, s -> s.start < i AND i < s.end)"
-    text = F.expr(f"concat_ws('', transform(sequence(0, size(pieces_)), i -> concat(if({both}, '', get(gaps_, i)), if(i >= size(pieces_) OR {hit_word}, '', get(pieces_, i)))))")
-    return rebuilt.withColumn(text_col, F.when(F.size("spans") == 0, F.col(f"`{text_col}`")).otherwise(text)).select(*cols)
+    # separators and words in turn, found in the text itself, so that their case stays
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    cut = found.withColumn("gaps", F.split(own, word)).withColumn("words", F.regexp_extract_all(own, F.lit(word), F.lit(0)))
+    gone = "exists(spans, s -> s.start <= i AND i < s.end)"
+    between = "exists(spans, s -> s.start < i AND i < s.end)"
+    text = F.expr(f"concat_ws('', transform(sequence(0, size(words)), i -> concat(if({between}, '', get(gaps, i)), if(i >= size(words) OR {gone}, '', get(words, i)))))")
+    return cut.select(*back(F.when(F.size("spans") == 0, own).otherwise(text)))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
