@@ -60,45 +60,50 @@ def _keys(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("kind", kind).withColumn("e1", e1).withColumn("e2", e2)
 
 
-def _draw(entity: str, key: str, turn: str) -> Column:
-    """A surrogate for each entity, from a keyed hash of it and the turn. Digits and names carry a length or script over from the entity."""
-    kind, value = F.substring_index(entity, ":", 1), F.expr(f"substring({entity}, instr({entity}, ':') + 1)")
-    h = F.sha2(F.concat_ws("|", F.lit(key), F.col(entity), F.col(turn).cast("string"), F.lit(key)), 256)
-    byte = lambda i: F.conv(F.substring(F.col("h"), 2 * i + 1, 2), 16, 10).cast("int")
-    fresh = F.concat(*[F.pmod(F.conv(F.substring(F.col("h"), 3 * i + 1, 3), 16, 10).cast("int"), F.lit(10)).cast("string") for i in range(20)])
-    size = F.length("value")
-    number = F.substring(fresh, F.lit(1), size)
-    # a phone keeps its country code: all but the last ten digits, one at least; no part begins with 0
-    code = F.greatest(size - 10, F.lit(1))
-    phone = F.concat(F.substring("value", F.lit(1), code), F.lit("5"), F.substring(fresh, F.lit(1), F.greatest(size - code - 1, F.lit(0))))
-    # a card that passes the check sum gets a surrogate that does
-    luhn = "pmod(aggregate(sequence(1, length({0})), 0, (a, i) -> a + element_at(array(0,1,2,3,4,5,6,7,8,9,0,2,4,6,8,1,3,5,7,9), int(substring({0}, length({0}) - i + 1, 1)) + if(i % 2 = 0, 10, 0) + 1)), 10)"
-    body = F.concat(F.lit("9"), F.substring(fresh, F.lit(1), size - 2))
-    ip = F.concat_ws(".", (F.pmod(byte(0), F.lit(16)) + 240).cast("string"), byte(1).cast("string"), byte(2).cast("string"), byte(3).cast("string"))
-    local, domain = F.substring_index("value", "@", 1), F.substring_index("value", "@", -1)
-    fold = "array_join(transform(split({0}, ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' THEN string(pmod(ascii(substring({1}, pmod(i, 60) + 1, 1)) * 7 + ascii(substring({1}, pmod(i * 5, 60) + 2, 1)), 10)) WHEN c RLIKE '[a-z]' THEN substring('abcdefghijklmnopqrstuvwxyz', pmod(ascii(substring({1}, pmod(i, 60) + 1, 1)) * 31 + ascii(substring({1}, pmod(i * 7, 60) + 3, 1)) + i, 26) + 1, 1) ELSE c END), '')"
+#: SQL: the check sum of a string of digits, 0 if it is right (every second digit from the end counts as the digits of its double).
+_LUHN = "pmod(aggregate(sequence(1, length({0})), 0, (a, i) -> a + element_at(array(0,1,2,3,4,5,6,7,8,9,0,2,4,6,8,1,3,5,7,9), int(substring({0}, length({0}) - i + 1, 1)) + if(i % 2 = 0, 10, 0) + 1)), 10)"
+#: SQL: an address's local part with other letters for letters and other digits for digits, by the hash h.
+_LOCAL = (
+    "array_join(transform(split(substring_index(value, '@', 1), ''), (c, i) -> CASE"
+    " WHEN c RLIKE '[0-9]' THEN string(pmod(ascii(substring(h, pmod(i, 60) + 1, 1)) * 7 + ascii(substring(h, pmod(i * 5, 60) + 2, 1)), 10))"
+    f" WHEN c RLIKE '[a-z]' THEN substring('{LOWER}', pmod(ascii(substring(h, pmod(i, 60) + 1, 1)) * 31 + ascii(substring(h, pmod(i * 7, 60) + 3, 1)) + i, 26) + 1, 1) ELSE c END), '')"
+)
+
+
+def _made_up_name(byte) -> Column:
+    """Four syllables and an ending of the entity's script and gender."""
     script = F.when(F.col("value").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("value").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     out = F.lit(None).cast("string")
-    for name, (syllables, endings) in SYLLABLES.items():
-        list_ = F.split(F.lit(" ".join(syllables)), " ")
-        made = F.concat(*[F.element_at(list_, F.pmod(byte(i), F.lit(len(syllables))) + 1) for i in range(4)], F.when(F.col("kind_") == "given_m", endings[0]).when(F.col("kind_") == "given_f", endings[1]).otherwise(endings[2]))
-        out = F.when(F.col("script") == name, F.initcap(made)).otherwise(out)
-    del local, domain
-    return kind, value, h, number, phone, luhn, body, ip, fold, script, out
+    for name, (syllables, (male, female, neither)) in SYLLABLES.items():
+        from_ = F.split(F.lit(" ".join(syllables)), " ")
+        ending = F.when(F.col("type") == "given_m", male).when(F.col("type") == "given_f", female).otherwise(neither)
+        made = F.concat(*[F.element_at(from_, F.pmod(byte(i), F.lit(len(syllables))) + 1) for i in range(4)], ending)
+        out = F.when(script == name, F.initcap(made)).otherwise(out)
+    return out
 
 
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """entity, turn, surrogate for rows of entity and turn."""
-    kind, value, h, _, phone, luhn, body, ip, fold, script, name = _draw("entity", key, "turn")
-    rows = entities.withColumn("kind_", kind).withColumn("value", value).withColumn("h", h).withColumn("script", script)
-    rows = rows.withColumn("body", body).withColumn("zero", F.concat("body", F.lit("0")))
-    last = F.when(F.expr(luhn.format("value")) == 0, F.pmod(F.lit(10) - F.expr(luhn.format("zero")), F.lit(10)).cast("string")).otherwise(F.pmod(F.ascii(F.substring("h", 64, 1)), F.lit(10)).cast("string"))
-    # of an address, the local part keeps its letters' and digits' places; one domain has one surrogate, under a name that cannot exist
-    local = F.expr(fold.format("substring_index(value, '@', 1)", "h"))
+    """entity, turn, surrogate for rows of entity and turn: what a keyed hash of both gives, in the entity's form."""
+    h = F.sha2(F.concat_ws("|", F.lit(key), "entity", F.col("turn").cast("string"), F.lit(key)), 256)
+    rows = entities.withColumn("type", F.substring_index("entity", ":", 1)).withColumn("value", F.expr("substring(entity, instr(entity, ':') + 1)")).withColumn("h", h)
+    byte = lambda i: F.conv(F.substring("h", 2 * i + 1, 2), 16, 10).cast("int")
+    digit = lambda i: F.pmod(F.conv(F.substring("h", 3 * i + 1, 3), 16, 10).cast("int"), F.lit(10)).cast("string")
+    fresh, size = F.concat(*[digit(i) for i in range(20)]), F.length("value")
+    # a telephone keeps what stands before its last ten digits, its first digit at least
+    code = F.greatest(size - 10, F.lit(1))
+    phone = F.concat(F.substring("value", F.lit(1), code), F.lit("5"), F.substring(fresh, F.lit(1), F.greatest(size - code - 1, F.lit(0))))
+    # a card whose check sum is right gets a surrogate whose check sum is right
+    rows = rows.withColumn("body", F.concat(F.lit("9"), F.substring(fresh, F.lit(1), size - 2))).withColumn("zero", F.concat("body", F.lit("0")))
+    right = F.pmod(F.lit(10) - F.expr(_LUHN.format("zero")), F.lit(10)).cast("string")
+    card = F.concat("body", F.when(F.expr(_LUHN.format("value")) == 0, right).otherwise(F.pmod(F.ascii(F.substring("h", 64, 1)), F.lit(10)).cast("string")))
+    ip = F.concat_ws(".", (F.pmod(byte(0), F.lit(16)) + 240).cast("string"), *[byte(i).cast("string") for i in (1, 2, 3)])
+    # one domain has one surrogate, under a name that cannot exist; short local parts grow when they keep colliding
     domain = F.concat(F.lit("d"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.substring_index("value", "@", -1)), 256), 1, 10), F.lit(".example"))
-    digits = F.when(F.col("kind_") == "card", F.concat("body", last)).when(F.col("kind_") == "phone", phone)
-    surrogate = F.when(F.col("kind_") == "email", F.concat(local, F.when(F.col("turn") > 4, F.concat(F.lit("."), F.substring("h", 1, 6))).otherwise(F.lit("")), F.lit("@"), domain)).when(F.col("kind_") == "ip", ip).when(F.col("kind_").isin("card", "phone"), digits).otherwise(name)
-    return rows.select("entity", "turn", F.concat("kind_", F.lit(":"), surrogate).alias("surrogate"))
+    longer = F.when(F.col("turn") > 4, F.concat(F.lit("."), F.substring("h", 1, 6))).otherwise("")
+    email = F.concat(F.expr(_LOCAL), longer, F.lit("@"), domain)
+    type_ = F.col("type")
+    surrogate = F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "card", card).when(type_ == "phone", phone).otherwise(_made_up_name(byte))
+    return rows.select("entity", "turn", F.concat("type", F.lit(":"), surrogate).alias("surrogate"))
 
 
 def assign_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -119,10 +124,8 @@ def assign_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFr
 
 
 def _rewritten() -> Column:
-    """A mention in its own format, with the surrogates s1 and s2 (type:value) in it."""
-    value = lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)")
+    """A mention m in its own format, with the surrogates v1 and, of a given name, v2 in it."""
     digits = F.expr("aggregate(split(m, ''), struct('' AS out, 1 AS k), (a, c) -> if(c RLIKE '[0-9]', struct(concat(a.out, substring(v1, a.k, 1)) AS out, a.k + 1 AS k), struct(concat(a.out, c) AS out, a.k AS k)), a -> a.out)")
-    del value
     title = F.regexp_extract("m", rf"^((?:{_TITLE})\.?\x20)", 1)
     return F.when(F.col("kind").isin("phone", "card"), digits).when(F.col("kind") == "name", F.concat(title, F.when(F.col("v2").isNotNull(), F.concat("v2", F.lit(" "))).otherwise(F.lit("")), "v1")).otherwise(F.col("v1"))
 
