@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ BLOCK, LANES, REFRESH, SEEN = 4096, 1024, 1024, 32
 #: Entries of the order-1 and order-2 tables of a block (powers of two), and the greatest odds of a prediction, in sixteenths.
 ORDER1, ORDER2, ODDS = 4096, 8192, 240
 #: Ids are below this; chunks of text a worker remembers; documents' end.
-IDS, REMEMBERED, END = 1 << 16, 300_000, 2
+IDS, REMEMBERED, END = 1 << 16, 500_000, 2
 _WINDOW, _SETTLED, _FLOOR = np.uint64((1 << 48) - 1), np.uint64(32), np.uint64(1 << 28)
 _U = np.uint64
 
@@ -276,9 +277,15 @@ class WordEncoder:
         return np.frombuffer(b"".join(map(self.known.__getitem__, found)), "<u2")
 
 
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker: what it has met stays known."""
+    return WordEncoder(path)
+
+
 def _writing(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, shard, first, block = WordEncoder(path), _Writer(), TaskContext.get().partitionId(), 0, 0
+        encoder, writer, shard, first, block = word_encoder(path), _Writer(), TaskContext.get().partitionId(), 0, 0
 
         def flush():
             nonlocal first, block
