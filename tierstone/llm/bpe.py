@@ -15,6 +15,8 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache, lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from tierstone.llm.common import own_columns, table
 
 #: Pieces in the lexicon at most; the longest piece in bytes that may enter it; pieces that a worker remembers.
-LEXICON, LONGEST, REMEMBERED = 50_000, 64, 200_000
+LEXICON, LONGEST, REMEMBERED = 100_000, 64, 700_000
 #: Characters that are cut into pieces at once, and distinct pieces counted before they are handed on.
 PART, COUNTED = 1 << 20, 200_000
 #: How text falls into pieces (fixed by the vocabulary).
@@ -60,29 +62,27 @@ class Vocabulary:
         for t, i in vocab.items():
             if len(spelled[t]) == 1:
                 self.single[spelled[t][0]] = i
-        self.merges = {}
+        self.merges, self.merged = {}, []
         for rank, pair in enumerate(self.file["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank
+            self.merged.append((vocab[a], vocab[b], vocab[a + b]))
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._library = None
 
     def merge(self, piece: bytes) -> list[int]:
         """A piece's ids: of all adjacent pairs, that of the lowest rank is merged, leftmost first, until none can be."""
         ids = [self.single[b] for b in piece]
-        merges = self.merges
+        rank, none = self.merges.get, repeat(len(self.merged))
         while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = merges.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+            best = min(map(rank, zip(ids, ids[1:], strict=False), none))
+            if best == len(self.merged):
                 break
-            a, b, out, i = ids[at], ids[at + 1], ids[:at], at
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(best[1])
+            a, b, new = self.merged[best]
+            out, i, last = [], 0, len(ids) - 1
+            while i <= last:
+                if i < last and ids[i] == a and ids[i + 1] == b:
+                    out.append(new)
                     i += 2
                 else:
                     out.append(ids[i])
@@ -187,7 +187,7 @@ class Lexicon:
                 arrays[n].tofile(f)
 
     def __init__(self, path: str):
-        all_ = np.memmap(path, np.int64, "r")
+        all_ = np.memmap(path, np.int64, "r").view(np.ndarray)  # of the mapped pages still, without the subclass's cost
         at = len(self.NAMES)
         for name, n in zip(self.NAMES, all_[:at], strict=True):
             setattr(self, name, all_[at : at + int(n)])
@@ -229,18 +229,32 @@ class Encoder:
         self.vocabulary, self.lexicon, self.known = vocabulary, lexicon, {}
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for part in self.vocabulary.parts(text):
-            if isinstance(part, int):
-                out.append(part.to_bytes(4, "little"))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Texts are cut together, of about PART characters, so that what is new to them is looked up at once."""
+        out, held, size = [], [], 0
+        for text in texts:
+            if len(text) > PART:
+                out += self._joined(held)
+                held, size = [], 0
+                out.append(b"".join(self._joined([[part]])[0] for part in self.vocabulary.parts(text)))
                 continue
-            if new := set(part).difference(self.known):
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                    new = set(part)
-                self._learn(list(new))
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
+            held.append(list(self.vocabulary.parts(text)))
+            size += len(text)
+            if size > PART:
+                out += self._joined(held)
+                held, size = [], 0
+        return out + self._joined(held)
+
+    def _joined(self, cut: list[list]) -> list[bytes]:
+        found = set().union(*(part for parts in cut for part in parts if not isinstance(part, int)))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := found.difference(self.known):
+            self._learn(list(new))
+        of = self.known.__getitem__
+        return [b"".join(part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(of, part)) for part in parts) for parts in cut]
 
     def _learn(self, pieces: list[str]) -> None:
         coded = [p.encode() for p in pieces]
@@ -251,7 +265,7 @@ class Encoder:
 
 def _counting(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = Vocabulary(path), Counter()
+        vocabulary, counts = _vocabulary(path), Counter()
 
         def flush():
             pieces = [p for p in counts if len(p.encode()) <= LONGEST]
@@ -291,11 +305,22 @@ def _open_lexicon(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
+@lru_cache(1)
+def _encoder(path: str, lexicon: str) -> Encoder:
+    """One for all tasks of a worker: what it has met stays known."""
+    return Encoder(_vocabulary(path), _open_lexicon(lexicon))
+
+
+@cache
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def _encoding(path: str, lexicon: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path), _open_lexicon(lexicon))
+        encoder = _encoder(path, lexicon)
         for batch in batches:
-            ids = [encoder.encode(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
+            ids = encoder.encode_all([t.as_py() or "" for t in batch.column(batch.num_columns - 1)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], [*batch.schema.names[:-1], "n_tokens", "ids"])
 
     return encode
@@ -303,7 +328,7 @@ def _encoding(path: str, lexicon: str):
 
 def _decoding(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = Vocabulary(path).bytes
+        spelled = _vocabulary(path).bytes
         for batch in batches:
             texts = [b"".join(map(spelled.__getitem__, np.frombuffer(i.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace") for i in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
