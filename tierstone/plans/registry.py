@@ -151,7 +151,7 @@ def q12_key_variants(spark, d):
 
 @query(f"WITH {_PARTS}, y AS (SELECT id, target, substr({_CANON.format(p='path')}, 2) AS rel FROM x) SELECT id, {_CANON.format(p='rel')} AS file_key, lower(split_part(rel, '/', 1)) || {_CANON.format(p='''substr(rel, length(split_part(rel, '/', 1)) + 1)''')} AS vhost_key FROM y")
 def q13_relpath_keys(spark, d):
-    rel = V.requests(spark, d).select("id", F.expr("1"), F.substring(http.derive_key(F.col("host"), F.col("target")), F.lit(2), F.lit(1 << 20)).alias("rel"))
+    rel = V.requests(spark, d).select("id", F.substring(http.derive_key(F.col("host"), F.col("target")), F.lit(2), F.lit(1 << 20)).alias("rel"))
     return rel.select("id", http.derive_key_from_relpath(F.col("rel")).alias("file_key"), http.derive_key_from_relpath(F.col("rel"), http.KeyOptions(vhost=True)).alias("vhost_key"))
 
 
