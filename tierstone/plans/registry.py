@@ -248,13 +248,23 @@ def q19_response_head(spark, d):
     return rows.select("key", http.response_head(c("status"), c("size"), c("body_len"), http.content_type(c("key")), c("tag"), c("content_range"), F.lit(True)).alias("head"))
 
 
+def _bodies(spark, d, length):
+    """key, body (hex) of the 206 answers; length: SQL of how many bytes of the range the body has."""
+    rows = _evaluated(spark, d).where("e.status = 206").select("key", "doc_id", "e.body_off", "e.body_len")
+    texts = V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("value"))
+    return rows.join(texts, "doc_id").select("key", F.lower(F.hex(F.expr(f"substring(value, int(body_off) + 1, int({length}))"))).alias("body"))
+
+
 @query(
     f"WITH {_RANGE_SQL} SELECT key, lower(hex(encode(text))[2 * off + 1:2 * (off + least(len, 64))]) AS body FROM e JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) USING (doc_id) WHERE status = 206"
 )
 def q20_ranged_bytes(spark, d):
-    rows = _evaluated(spark, d).where("e.status = 206").select("key", "doc_id", "e.body_off", "e.body_len")
-    texts = V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("value"))
-    return rows.join(texts, "doc_id").select("key", F.lower(F.hex(F.expr("substring(value, int(body_off) + 1, int(least(body_len, 64)))"))).alias("body"))
+    return _bodies(spark, d, "least(body_len, 64)")
+
+
+@query(f"WITH {_RANGE_SQL} SELECT key, lower(hex(encode(text))[2 * off + 1:2 * (off + len)]) AS body FROM e JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) USING (doc_id) WHERE status = 206")
+def q20_ranged_bytes_whole(spark, d):
+    return _bodies(spark, d, "body_len")
 
 
 # protocol
