@@ -198,6 +198,13 @@ def test_classifier_without_labels(spark):
     assert importance.importance_resample(frame(spark, []), labels).count() == 0
 
 
+def test_share_of_targets_keeps_its_digits(spark):
+    for raw in (100, 30_000, 10**6, 10**10):
+        counts = spark.createDataFrame([(b, raw * (b + 1), 3 * (b + 1)) for b in range(5)] + [(9, raw, 0)], "bucket long, raw long, target long")
+        assert abs(importance.median_share(counts) / (3 / raw) - 1) < 1e-3
+    assert importance.median_share(counts.where("target = 0")) is None
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     values = [rng.choice([rng.gauss(0, 9), 3.0, -1e9]) for _ in range(3000)]

@@ -80,6 +80,13 @@ def _scored(ratios, bits: int, order: int):
     return score
 
 
+def median_share(counts: DataFrame) -> float | None:
+    """The median share of target text in raw text over target grams, within 0.05 % at any size: its logarithm is rounded, to keep distinct values few."""
+    share = F.round(F.log(F.col("target") / F.col("raw")), 3)
+    middle = counts.where("target > 0").agg(F.percentile(share, 0.5, F.col("target"))).first()[0]
+    return None if middle is None else float(np.exp(middle))
+
+
 def fit_ratios(docs: DataFrame, targets: DataFrame, scratch: Scratch, bits: int = BITS, order: int = ORDER, smooth: float = SMOOTH, sure: float = SURE, most_targets: int = MOST_TARGETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets whose log ratio is not 0, and the ratios; two aligned arrays, at most order << bits long. docs: id, text; targets: distinct ids.
 
@@ -90,8 +97,7 @@ def fit_ratios(docs: DataFrame, targets: DataFrame, scratch: Scratch, bits: int
     few = F.broadcast(targets.select(F.col("id").alias("t_id")).orderBy(F.xxhash64("t_id"), "t_id").limit(most_targets))
     marked = docs.join(few, F.col("id") == F.col("t_id"), "left").select(F.col("text").cast("binary").alias("text"), F.col("t_id").isNotNull().alias("good"))
     counts = scratch.save(marked.mapInArrow(_counted(bits, order), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "counts")
-    share = F.col("target") / F.col("raw")
-    middle = counts.where("target > 0").agg(F.percentile(F.round(share, 4), 0.5, F.col("target"))).first()[0]
+    middle = median_share(counts)
     if middle is None:
         return np.empty(0, np.int64), np.empty(0)
     expected = F.col("raw") * F.lit(middle)
