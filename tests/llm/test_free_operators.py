@@ -198,6 +198,15 @@ def test_classifier_without_labels(spark):
     assert importance.importance_resample(frame(spark, []), labels).count() == 0
 
 
+def test_classifier_tells_bad_documents_of_a_small_table(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join([*rng.choices(words, k=40), *(["vile"] if i >= 200 else [])])) for i in range(216)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 200)) for i in range(216)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in importance.importance_resample(frame(spark, rows), labels).collect() if r["kept"]}
+    assert len([i for i in kept if i < 200]) >= 196 and len([i for i in kept if i >= 200]) <= 2
+
+
 def test_share_of_targets_keeps_its_digits(spark):
     for raw in (100, 30_000, 10**6, 10**10):
         counts = spark.createDataFrame([(b, raw * (b + 1), 3 * (b + 1)) for b in range(5)] + [(9, raw, 0)], "bucket long, raw long, target long")
