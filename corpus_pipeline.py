@@ -45,8 +45,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
-    return secrets.redact(docs)
+    """All documents, with a mark in place of each secret. Owner and repository are those of op9_ownership_frequency."""
+    placed = docs.withColumn("repository__", F.concat_ws("/", "source", "lang"))
+    return secrets.redact(placed, repository_col="repository__").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

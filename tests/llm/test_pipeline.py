@@ -35,6 +35,16 @@ def test_hard_rows_pass_through(spark):
     assert sorted(str(r["doc_id"]) for r in once.collect()) == ["1", "2", "3", "5", "None"] and once.columns == docs.columns
 
 
+def test_examples_of_many_repositories_stay(spark):
+    shared, own = "Abcdefghij0123456789xyz", "Zyxwvutsrq9876543210abc"
+    rows = [(i, f"key {shared} {own if i == 1 else ''}", f"s{i % 2}", f"l{i}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = corpus_pipeline.secret_scan(spark, docs, "")
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert got.columns == docs.columns and all(shared in t for t in texts.values())
+    assert texts[1] == f"key {shared} <SECRET>"
+
+
 def test_registry():
     queries = registry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries} - {"pipeline"} and "pipeline" in queries
