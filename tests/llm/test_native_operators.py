@@ -222,6 +222,14 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert other != text and pii.replace_entities(frame(spark, []), "k").count() == 0
 
 
+def test_names_of_many_words_are_replaced_whole(spark):
+    text = "Frau Anna Maria Schmidt und Frau Anna Schmidt, Mr John Paul George Smith."
+    got = pii.replace_entities(frame(spark, [(1, text)]), "k").first()
+    m = re.fullmatch(r"Frau (\w+) (\w+) (\w+) und Frau (\w+) (\w+), Mr (\w+) (\w+) (\w+) (\w+)\.", got["text"])
+    assert m and m[1] == m[4] and m[3] == m[5] and got["n_name"] == 3 and len(set(m.groups())) == 7
+    assert not set(m.groups()) & set(re.findall(r"\w+", text))
+
+
 def test_surrogates_are_distinct_and_new(spark, monkeypatch):
     rows = [(i, f"u{i % 300}@mail.example.com and 10.{i % 7}.{i % 250}.1") for i in range(600)]
     got = pii.replace_entities(frame(spark, rows), "k").collect()

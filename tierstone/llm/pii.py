@@ -20,7 +20,7 @@ _WORD = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 #: Java patterns, by type. A card is 13 to 19 digits, singly parted at most.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})*",
     "phone": r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
@@ -46,7 +46,7 @@ def _digits(m: Column) -> Column:
 
 
 def _keys(mentions: DataFrame) -> DataFrame:
-    """Adds kind and the entities that column m names: e1 (address, number or surname) and e2 (a given name, or null), as type:value."""
+    """Adds kind and the entities that column m names: e1 (address, number or surname) and e2 (an array of given names: all words of a name but the last), as type:value."""
     words = F.split(F.regexp_replace("m", rf"^(?:{_TITLE})\.?\x20", ""), " ")
     gender = F.when(F.regexp_extract("m", rf"^({_TITLE})", 1).isin(list(FEMALE)), "f").otherwise("m")
     kind = _kind(F.col("m"))
@@ -56,7 +56,8 @@ def _keys(mentions: DataFrame) -> DataFrame:
         .when(F.col("kind") == "ip", F.concat(F.lit("ip:"), F.col("m")))
         .otherwise(F.concat("kind", F.lit(":"), _digits(F.col("m"))))
     )
-    e2 = F.when((F.col("kind") == "name") & (F.size(words) > 1), F.concat(F.lit("given_"), gender, F.lit(":"), F.element_at(words, 1)))
+    given = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: F.concat(F.lit("given_"), gender, F.lit(":"), w))
+    e2 = F.when(F.col("kind") == "name", given).otherwise(F.array().cast("array<string>"))
     return mentions.withColumn("kind", kind).withColumn("e1", e1).withColumn("e2", e2)
 
 
@@ -124,10 +125,10 @@ def assign_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFr
 
 
 def _rewritten() -> Column:
-    """A mention m in its own format, with the surrogates v1 and, of a given name, v2 in it."""
+    """A mention m in its own format, with the surrogates v1 and, of given names, v2 (an array) in it."""
     digits = F.expr("aggregate(split(m, ''), struct('' AS out, 1 AS k), (a, c) -> if(c RLIKE '[0-9]', struct(concat(a.out, substring(v1, a.k, 1)) AS out, a.k + 1 AS k), struct(concat(a.out, c) AS out, a.k AS k)), a -> a.out)")
     title = F.regexp_extract("m", rf"^((?:{_TITLE})\.?\x20)", 1)
-    return F.when(F.col("kind").isin("phone", "card"), digits).when(F.col("kind") == "name", F.concat(title, F.when(F.col("v2").isNotNull(), F.concat("v2", F.lit(" "))).otherwise(F.lit("")), "v1")).otherwise(F.col("v1"))
+    return F.when(F.col("kind").isin("phone", "card"), digits).when(F.col("kind") == "name", F.concat(title, F.array_join(F.concat("v2", F.array("v1")), " "))).otherwise(F.col("v1"))
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -142,19 +143,22 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     mentions = F.when(F.coalesce(may, F.lit(False)), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = rows.withColumn("ms", mentions)
     keyed = _keys(found.select(F.explode("ms").alias("m")).groupBy("m").count())
-    entities = keyed.select(F.explode(F.array("e1", "e2")).alias("entity")).where("entity IS NOT NULL")
+    entities = keyed.select(F.explode(F.concat(F.array("e1"), "e2")).alias("entity"))
     given = scratch.save(assign_surrogates(entities, key, scratch).select("entity", F.expr("substring(surrogate, instr(surrogate, ':') + 1)").alias("v")), "surrogates")
     few = given.count() <= MOST_BROADCAST
-    side = lambda e, v: (F.broadcast if few else (lambda x: x))(given.select(F.col("entity").alias(e), F.col("v").alias(v)))
+    parts = keyed.select("m", "kind", F.posexplode(F.concat("e2", F.array("e1"))).alias("i", "entity")).join(F.broadcast(given) if few else given, "entity")
+    named = parts.groupBy("m", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("vs"))
+    named = named.select("m", "kind", F.element_at("vs", -1).alias("v1"), F.slice("vs", F.lit(1), F.size("vs") - 1).alias("v2"))
+    named = scratch.save(named.select(F.col("m").alias("k"), "kind", _rewritten().alias("s")), "mentions")
+    side = F.broadcast(named) if named.count() <= MOST_BROADCAST else named
 
     counts = [f"n_{k}" for k in KINDS]
     without = found.where(F.size("ms") == 0).select("doc_id", *[F.lit(0).cast("long").alias(c) for c in counts], "text")
     some = found.where(F.size("ms") > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "ms", F.split("text", ANY).alias("gaps"))
     pieces = some.select("row", "doc_id", F.posexplode("gaps").alias("i", "gap"), F.col("ms")).select("row", "doc_id", "i", "gap", F.expr("get(ms, i)").alias("m"))
     # the text behind the last mention has none itself; it joins nothing, under a key of its own row lest all meet in one task
-    pieces = _keys(pieces).withColumn("k1", F.coalesce("e1", F.concat(F.lit("-:"), F.col("row").cast("string")))).withColumn("k2", F.coalesce("e2", F.concat(F.lit("-:"), F.col("row").cast("string"))))
-    joined = pieces.join(side("k1", "v1"), "k1", "left").join(side("k2", "v2"), "k2", "left")
-    written = joined.select("row", "doc_id", "i", "gap", F.when(F.col("m").isNotNull(), F.col("kind")).alias("kind"), F.when(F.col("m").isNotNull(), _rewritten()).otherwise(F.lit("")).alias("s"))
+    joined = pieces.withColumn("k", F.coalesce("m", F.concat(F.lit("-:"), F.col("row").cast("string")))).join(side, "k", "left")
+    written = joined.select("row", "doc_id", "i", "gap", "kind", F.coalesce("s", F.lit("")).alias("s"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "gap", "s"))), lambda x: F.concat(x["gap"], x["s"])), "")
     whole = written.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS], text.alias("text"))
     return without.union(whole.select("doc_id", *counts, "text"))
