@@ -140,6 +140,43 @@ def test_encoder_matches_the_library(spark, sf_dir):
     assert sorted(str(tuple(r)) for r in got) == sorted(str(want(i, t)) for i, t in rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chunks_and_merges_match_the_library(seed):
+    library, rng = Tokenizer.from_file(BYTE), random.Random(seed)
+    encoder = bpe.Encoder(bpe.Vocabulary(BYTE), None)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r", "a", "b1", "é", "日", "x.", "\x1c", "\xa0", "'s", "<|endoftext|>", " \n", "\U00010940"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(2000)]
+    texts += ["".join(rng.choice("abcdeÀ") for _ in range(n)) for n in (3, 30, 63, 64, 65, 66, 300, 5000)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_piece_of_a_megabyte_matches_the_library():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(1_000_000))
+    got = bpe.Encoder(bpe.Vocabulary(BYTE), None).encode(text)
+    assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 1 << 15)
+    monkeypatch.setattr(bpe, "PART", 400)
+    encoder, library = bpe.Encoder(bpe.Vocabulary(BYTE), None), Tokenizer.from_file(BYTE)
+    texts = [" ".join(f"w{j % 7} u{i}x{j}" for j in range(20)) for i in range(300)]
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) < 400 and len(encoder.before) < 400
+
+
+def test_most_frequent_pieces(spark):
+    rng = random.Random(6)
+    rows = [(f"p{i}", rng.choice([1, 1, 1, 2, 3, 50, 51, 10**12 + i])) for i in range(2000)]
+    counts = spark.createDataFrame(rows, "piece string, n long")
+    for size in (0, 1, 100, 700, 5000):
+        got = set(bpe.most_frequent(counts, size))
+        least = min((n for p, n in rows if p in got), default=2**60)
+        assert len(got) <= size and all((n < least * 1.011) for p, n in rows if p not in got) or size == 5000 and len(got) == 2000
+
+
 def test_op4(spark, sf_dir):
     assert bpe.op4_transducer_bpe(spark, sf_dir).count() == 200
 

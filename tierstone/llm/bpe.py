@@ -8,34 +8,40 @@ that it does not have are merged exactly by the vocabulary's rules, so the lexic
 from __future__ import annotations
 
 import atexit
+import heapq
 import json
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache, lru_cache
-from itertools import repeat
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.llm.common import own_columns, table
+from tierstone.llm.common import Scratch, own_columns, table
 
-#: Pieces in the lexicon at most; the longest piece in bytes that may enter it; pieces that a worker remembers.
-LEXICON, LONGEST, REMEMBERED = 100_000, 64, 700_000
-#: Characters that are cut into pieces at once, and distinct pieces counted before they are handed on.
-PART, COUNTED = 1 << 20, 200_000
+#: Pieces in the lexicon at most; the longest piece in bytes that may enter it, or be merged along with others.
+LEXICON, LONGEST = 100_000, 64
+#: Bytes of chunks and their ids that a task remembers, and the longest chunk in characters that it does.
+REMEMBERED, LONG_CHUNK = 96 << 20, 256
+#: Characters that are cut into pieces at once, distinct chunks counted before they are handed on, and bytes of text a batch.
+PART, COUNTED, BATCH = 1 << 20, 250_000, 4 << 20
 #: How text falls into pieces (fixed by the vocabulary).
 PIECE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECE = regex.compile(PIECE)
 #: Beyond these, the regex module's Unicode tables are newer than the tokenizers library's, which cuts such texts itself.
 _SAME = regex.compile("[^\\x00-\\u052f\\u1e00-\\u206f\\u20a0-\\u20bf\\u3040-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7a3]")
+#: Chunks without white space that may be cut end to end with others.
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u052f\u1e00-\u1fff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u30ff\u4e00-\u9fff\uac00-\ud7a3]+")
 #: A space before which a piece always ends.
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -52,43 +58,147 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            self.file = json.load(f)
-        letter = byte_letters()
-        spelled = {t: bytes(letter[c] for c in t) for t in self.file["model"]["vocab"]}
-        vocab = self.file["model"]["vocab"]
-        self.special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
-        self.bytes = {i: spelled[t] for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.single = [0] * 256
+            file = json.load(f)
+        letter, vocab = byte_letters(), file["model"]["vocab"]
+        spelled = {i: bytes(letter[c] for c in t) for t, i in vocab.items()}
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        spelled |= {i: t.encode() for t, i in self.special.items()}
+        #: all ids' bytes end to end, and where each one's begin
+        self._starts = np.cumsum([0, *(len(spelled.get(i, b"")) for i in range(max(spelled) + 1))])
+        self._bytes = np.frombuffer(b"".join(spelled.get(i, b"") for i in range(max(spelled) + 1)), np.uint8)
+        self.single = np.zeros(256, np.int64)
         for t, i in vocab.items():
-            if len(spelled[t]) == 1:
-                self.single[spelled[t][0]] = i
-        self.merges, self.merged = {}, []
-        for rank, pair in enumerate(self.file["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = rank
-            self.merged.append((vocab[a], vocab[b], vocab[a + b]))
+            if len(t) == 1:
+                self.single[letter[t]] = i
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in file["model"]["merges"]]
+        ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
+        key = ids[:, 0] << 32 | ids[:, 1]
+        self._ranks = np.argsort(key, kind="stable")
+        self._keys, self._merged = key[self._ranks], ids[:, 2]
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._library = None
-
-    def merge(self, piece: bytes) -> list[int]:
-        """A piece's ids: of all adjacent pairs, that of the lowest rank is merged, leftmost first, until none can be."""
-        ids = [self.single[b] for b in piece]
-        rank, none = self.merges.get, repeat(len(self.merged))
-        while len(ids) > 1:
-            best = min(map(rank, zip(ids, ids[1:], strict=False), none))
-            if best == len(self.merged):
-                break
-            a, b, new = self.merged[best]
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        self._rules, self._library = json.dumps(file | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}), None
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; the number of merges where a pair has none."""
+        none = len(self._keys)
+        if not none:
+            return np.zeros(left.shape, np.int64)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, key), none - 1)
+        return np.where(self._keys[at] == key, self._ranks[at], none)
+
+    def merge(self, piece: bytes) -> np.ndarray:
+        """A piece's ids: of all adjacent pairs, that of the lowest rank is merged, leftmost first, until none can be.
+
+        The pairs wait in a heap by rank and place, and the ids are linked both ways, so a piece of n bytes takes n log n steps.
+        """
+        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
+        n, none = len(ids), len(self._keys)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(self.rank(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist()) if r < none] if n > 1 else []
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+
+        def push(i: int) -> None:
+            pair = ids[i], ids[after[i]]
+            if pair not in known:
+                known[pair] = int(self.rank(np.array(pair[:1]), np.array(pair[1:]))[0])
+            if known[pair] < none:
+                heapq.heappush(heap, (known[pair], i, *pair))
+
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:  # one of the two has been merged since
+                continue
+            ids[i], ids[j], after[i] = int(self._merged[r]), -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                push(i)
+            if before[i] >= 0:
+                push(before[i])
+        return np.array([x for x in ids if x >= 0], "<u4")
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece. Pieces of about one length are merged in step, a pair of each at a time; long ones on their own."""
+        out, size = [b""] * len(pieces), np.array([len(p) for p in pieces], np.int64)
+        low = 0
+        for width in (4, 8, 16, 32, LONGEST):
+            at = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            for i in range(0, len(at), 1 << 14):
+                self._in_step(pieces, at[i : i + (1 << 14)], size, width, out)
+        for i in np.flatnonzero(size > LONGEST).tolist():
+            out[i] = self.merge(pieces[i]).tobytes()
+        return out
+
+    def _in_step(self, pieces: list[bytes], at: np.ndarray, size: np.ndarray, width: int, out: list[bytes]) -> None:
+        none, place = len(self._keys), np.arange(width)
+        packed = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in at.tolist()), np.uint8).reshape(-1, width)
+        n = size[at]
+        # the column behind the last id is never part of a pair
+        ids = np.where(place < n[:, None], self.single[packed], -1)
+        ranks = np.full((len(at), width), none, np.int64)
+        ranks[:, :-1] = np.where(place[1:] < n[:, None], self.rank(ids[:, :-1], np.maximum(ids[:, 1:], 0)), none)
+        while True:
+            best = ranks.argmin(axis=1)
+            lowest = ranks[np.arange(len(at)), best]
+            if (done := lowest == none).any():
+                for i, row, k in zip(at[done].tolist(), ids[done].astype("<u4"), n[done].tolist(), strict=True):
+                    out[i] = row[:k].tobytes()
+                at, n, ids, ranks, best, lowest = (x[~done] for x in (at, n, ids, ranks, best, lowest))
+            if not len(at):
+                return
+            rows, shift = np.arange(len(at)), np.minimum(place + (place > best[:, None]), width - 1)
+            ids[rows, best] = self._merged[lowest]
+            ids, n = np.take_along_axis(ids, shift, 1), n - 1
+            ranks = np.take_along_axis(ranks, shift, 1)
+            ids[rows, n] = -1
+            ranks[rows, n - 1] = none
+            for left in (best - 1, best):
+                pair = np.flatnonzero((left >= 0) & (left < n - 1))
+                ranks[pair, left[pair]] = self.rank(ids[pair, left[pair]], ids[pair, left[pair] + 1])
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        start = self._starts[ids]
+        size = self._starts[ids + 1] - start
+        return self._bytes[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
+
+    def chunks(self, text: str) -> list[str] | None:
+        """A text cut at its single spaces, each of which begins the chunk behind it, and before its line ends; None if that could part a piece.
+
+        A piece ends where a space stands between two other characters, and a line end there is a piece of its own. Two in a row are
+        two pieces before a letter; three, or two before a space or the end, are not. What else has white space at its edge shows in the chunks.
+        """
+        if not 0 < len(text) <= PART or text[0] in " \n" or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n") or any(map(text.__contains__, self.special)):
+            return None
+        cut = text.replace("\n", " \n").split(" ")
+        return None if cut[0][-1].isspace() else cut
+
+    def pieces_of(self, chunks: list[str]) -> Iterator[list[str] | None]:
+        """The pieces of each chunk, none of them a text's first; None if it has white space at its edge, so that its neighbours matter.
+
+        Plain chunks are cut end to end: a piece that has a space begins the next chunk.
+        """
+        plain = list(filter(_PLAIN.fullmatch, chunks))
+        cut = iter(_PIECE.findall(" ".join(["", *plain])))
+        known, piece = {}, next(cut, None)
+        for chunk in plain:
+            got = [piece]
+            for piece in cut:
+                if piece[0] == " ":
+                    break
+                got.append(piece)
+            known[chunk] = got
+        for chunk in chunks:
+            if chunk in known:
+                yield known[chunk]
+                continue
+            body = chunk.removeprefix("\n")
+            if body and not body[0].isspace() and not body[-1].isspace():
+                yield self._cut(chunk if body is not chunk else " " + chunk)
+            else:
+                yield ["\n"] if chunk and not body else None
 
     def parts(self, text: str) -> Iterator[int | list[str]]:
         """Special tokens as ids, and what stands between them as lists of pieces, of about PART characters each."""
@@ -100,17 +210,20 @@ class Vocabulary:
         yield from self._pieces(text[at:] if at else text)
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
-        while text:
-            cut = _CUT.search(text, PART) if len(text) > PART else None
-            part, text = (text[: cut.start()], text[cut.start() :]) if cut else (text, "")
-            if _SAME.search(part):
-                if self._library is None:
-                    from tokenizers import Tokenizer
-
-                    self._library = Tokenizer.from_str(json.dumps(self.file)).pre_tokenizer
-                yield [part[a:b] for _, (a, b) in self._library.pre_tokenize_str(part)]
-            else:
-                yield _PIECE.findall(part)
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + PART) if len(text) - at > PART else None
+            yield self._cut(text[at : cut.start() if cut else len(text)])
+            at = cut.start() if cut else len(text)
+
+    def _cut(self, part: str) -> list[str]:
+        if not _SAME.search(part):
+            return _PIECE.findall(part)
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self._rules).pre_tokenizer
+        return [part[a:b] for _, (a, b) in self._library.pre_tokenize_str(part)]
 
 
 class Lexicon:
@@ -200,9 +313,7 @@ class Lexicon:
             return out
         size = np.array([len(w) for w in words], np.int64)
         live = np.flatnonzero((size > 0) & (size <= LONGEST))
-        padded = np.zeros((len(live), LONGEST), np.uint8)
-        for row, i in enumerate(live):
-            padded[row, : size[i]] = np.frombuffer(words[i], np.uint8)
+        padded = np.frombuffer(b"".join(words[i].ljust(LONGEST, b"\0") for i in live.tolist()), np.uint8).reshape(-1, LONGEST)
         rows, state, rank = np.arange(len(live)), np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
         for step in range(LONGEST):
             key = state << 8 | padded[rows, step]
@@ -223,75 +334,129 @@ class Lexicon:
 
 
 class Encoder:
-    """Text to packed ids (little-endian unsigned 32-bit), with a bounded memory of pieces over the lexicon."""
+    """Text to packed ids (little-endian unsigned 32-bit), with a memory of chunks over the lexicon that is bounded in bytes."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.lexicon, self.known = vocabulary, lexicon, {}
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
+        self.held = 0
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Texts are cut together, of about PART characters, so that what is new to them is looked up at once."""
-        out, held, size = [], [], 0
-        for text in texts:
-            if len(text) > PART:
-                out += self._joined(held)
-                held, size = [], 0
-                out.append(b"".join(self._joined([[part]])[0] for part in self.vocabulary.parts(text)))
-                continue
-            held.append(list(self.vocabulary.parts(text)))
-            size += len(text)
-            if size > PART:
-                out += self._joined(held)
-                held, size = [], 0
-        return out + self._joined(held)
-
-    def _joined(self, cut: list[list]) -> list[bytes]:
-        found = set().union(*(part for parts in cut for part in parts if not isinstance(part, int)))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := found.difference(self.known):
-            self._learn(list(new))
-        of = self.known.__getitem__
-        return [b"".join(part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(of, part)) for part in parts) for parts in cut]
-
-    def _learn(self, pieces: list[str]) -> None:
-        coded = [p.encode() for p in pieces]
-        ranks = self.lexicon.ranks(coded) if self.lexicon else np.full(len(coded), -1)
-        for p, c, rank in zip(pieces, coded, ranks, strict=True):
-            self.known[p] = self.lexicon.of(rank) if rank >= 0 else np.array(self.vocabulary.merge(c), "<u4").tobytes()
+        """Texts are taken together, of about PART characters, so that what is new to them is looked up at once."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= PART:
+                size += len(texts[end])
+                end += 1
+            out += self._some(texts[at:end])
+            at = end
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        cut = [self.vocabulary.chunks(t) for t in texts]
+        met = set().union(*(c[1:] for c in cut if c))
+        if self.held > REMEMBERED // 2:
+            # what has been met since the last time stays
+            self.known, self.before, self.held = {}, self.known, 0
+        again = met.intersection(self.before).difference(self.known)
+        self.known |= {c: self.before[c] for c in again}
+        self.held += 250 * len(again)
+        self._learn(met.difference(self.known))
+        out, of = [], self.known.__getitem__
+        heads = [self.vocabulary._cut(c[0]) if c else [] for c in cut]
+        first = iter(self._ids([p for head in heads for p in head]))
+        for text, chunks, head in zip(texts, cut, heads, strict=True):
+            start = [next(first) for _ in head]
+            try:
+                out.append(b"".join([*start, *map(of, chunks[1:])]) if chunks else self._whole(text))
+            except (KeyError, TypeError):  # a chunk has white space at its edge, or is too long to be remembered
+                out.append(self._whole(text))
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(self._ids(p)) for p in self.vocabulary.parts(text))
+
+    def _learn(self, chunks: set[str]) -> None:
+        short = [c for c in chunks if len(c) <= LONG_CHUNK]
+        cut = list(self.vocabulary.pieces_of(short))
+        known = iter(self._ids([p for pieces in cut if pieces for p in pieces]))
+        for chunk, pieces in zip(short, cut, strict=True):
+            self.known[chunk] = None if pieces is None else b"".join([next(known) for _ in pieces]) if len(pieces) > 1 else next(known)
+        self.held += 2 * sum(map(len, short)) + 200 * len(short)
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each piece: by the lexicon, or merged."""
+        new = list(dict.fromkeys(pieces))
+        coded = [p.encode() for p in new]
+        found = dict.fromkeys(new, b"")
+        if self.lexicon:
+            ranks = self.lexicon.ranks(coded)
+            found |= {new[i]: self.lexicon.of(ranks[i]) for i in np.flatnonzero(ranks >= 0).tolist()}
+        left = [i for i, p in enumerate(new) if not found[p]]
+        found |= {new[i]: ids for i, ids in zip(left, self.vocabulary.merge_all([coded[i] for i in left]), strict=True)}
+        return [found[p] for p in pieces]
+
+
+@lru_cache(1)
+def _vocabulary(path: str) -> Vocabulary:
+    """One for all tasks of a worker: a few MB of arrays."""
+    return Vocabulary(path)
 
 
 def _counting(path: str):
+    """Pieces and their counts. Those at odd white space are cut more simply than the encoder does, for the counts choose words and no more."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = _vocabulary(path), Counter()
+        vocabulary = _vocabulary(path)
+        chunks, counts = Counter(), Counter()
 
         def flush():
+            for (chunk, n), pieces in zip(chunks.items(), vocabulary.pieces_of(list(chunks)), strict=True):
+                for p in pieces or vocabulary._cut(" " + chunk):
+                    counts[p] += n
             pieces = [p for p in counts if len(p.encode()) <= LONGEST]
             out = pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array([counts[p] for p in pieces], pa.int64())], ["piece", "n"])
+            chunks.clear()
             counts.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0):
-                for part in vocabulary.parts(text.as_py() or ""):
-                    if not isinstance(part, int):
-                        counts.update(part)
-                if len(counts) > COUNTED:
+                text = text.as_py() or ""
+                for at in range(0, len(text), PART):
+                    chunks.update(text[at : at + PART].replace("\n", " \n").split(" "))
+                if len(chunks) > COUNTED:
                     yield flush()
         yield flush()
 
     return count
 
 
+def most_frequent(counts: DataFrame, size: int) -> list[str]:
+    """The most frequent pieces, `size` at most. Counts fall into bins of a 64th of a power of two, and whole bins enter while they fit, so the driver gathers a line a bin (some 4,000 at most) and what it keeps."""
+    level = F.floor(F.log2("n") * 64)
+    least, left = None, size
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if r["count"] > left:
+            break
+        least, left = r["level"], left - r["count"]
+    return [] if least is None else [r["piece"] for r in counts.where(level >= least).select("piece").collect()]
+
+
 def compile_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text", size: int = LEXICON) -> str:
     """Counts the pieces of every text, compiles the most frequent ones, hands the file to the executors, and returns its name there."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lexicon")
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_counting(vocabulary_path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "piece").limit(size).collect()
+    counts = scratch.save(counts, "counts")
+    words = [p.encode() for p in most_frequent(counts, size)]
+    scratch.drop(counts)
     vocabulary = Vocabulary(vocabulary_path)
-    arrays = Lexicon.build({r["piece"].encode(): vocabulary.merge(r["piece"].encode()) for r in top})
+    arrays = Lexicon.build({w: np.frombuffer(ids, "<u4").tolist() for w, ids in zip(words, vocabulary.merge_all(words), strict=True)})
     # Spark's file distribution takes it from the driver whenever an executor starts, so it stays until the driver ends
     folder = tempfile.mkdtemp(prefix="lexicon-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -301,46 +466,52 @@ def compile_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text
     return os.path.basename(path)
 
 
-def _open_lexicon(name: str) -> Lexicon:
-    return Lexicon(SparkFiles.get(name))
+def _parts_of(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about BATCH bytes in column `at`, so that what is made of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    share = np.cumsum(sizes) // BATCH
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
-@lru_cache(1)
-def _encoder(path: str, lexicon: str) -> Encoder:
-    """One for all tasks of a worker: what it has met stays known."""
-    return Encoder(_vocabulary(path), _open_lexicon(lexicon))
+def _decoded(vocabulary: Vocabulary, ids: list[bytes | None]) -> pa.Array:
+    return pa.array([vocabulary.spell(np.frombuffer(i or b"", "<u4").astype(np.int64)).decode("utf-8", "replace") for i in ids], pa.string())
 
 
-@cache
-def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
-def _encoding(path: str, lexicon: str):
+def _encoding(path: str, lexicon: str, decode: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, lexicon)
-        for batch in batches:
-            ids = encoder.encode_all([t.as_py() or "" for t in batch.column(batch.num_columns - 1)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], [*batch.schema.names[:-1], "n_tokens", "ids"])
+        vocabulary = _vocabulary(path)
+        encoder = Encoder(vocabulary, Lexicon(SparkFiles.get(lexicon)))
+        for whole in batches:
+            for batch in _parts_of(whole, 1):
+                ids = encoder.encode_all([t or "" for t in batch.column(1).to_pylist()])
+                made = [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*made, *([_decoded(vocabulary, ids)] if decode else [])], ["doc_id", "n_tokens", "ids", *(["decoded"] if decode else [])])
 
     return encode
 
 
 def _decoding(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = _vocabulary(path).bytes
-        for batch in batches:
-            texts = [b"".join(map(spelled.__getitem__, np.frombuffer(i.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace") for i in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        vocabulary = _vocabulary(path)
+        for whole in batches:
+            for batch in _parts_of(whole, 2):
+                yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(vocabulary, batch.column(2).to_pylist())], [*batch.schema.names, "decoded"])
 
     return decode
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit) for each row of docs. A null text has no ids. Special tokens' strings in a text become their ids. Repeated rows are encoded each."""
+def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon: str | None = None, decode: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit) for each row of docs; with decode, also the text that they give.
+
+    A null text has no ids. Special tokens' strings in a text become their ids. Repeated rows are encoded each. A text of any
+    length is encoded whole, and so is a piece without a break. An empty table gives no rows.
+    """
     name = lexicon or compile_lexicon(docs, vocabulary_path, text_col)
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col})
-    return rows.mapInArrow(_encoding(vocabulary_path, name), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary")
+    return rows.mapInArrow(_encoding(vocabulary_path, name, decode), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary" + ", decoded string" * decode)
 
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -350,7 +521,8 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    both = decode_documents(encode_documents(docs, vocabulary_path), vocabulary_path)
+    """doc_id, n_tokens, and digests of the ids and of the text that they give. One worker encodes and decodes, so a task has one process beside the JVM."""
+    both = encode_documents(docs, vocabulary_path, decode=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
