@@ -124,6 +124,91 @@ def test_pigeonhole_keys_meet_within_the_distance(spark):
     assert all(r["apart"] == r["d"] for r in got) and all(r["meet"] for r in got if r["d"] <= near_dup.DISTANCE)
 
 
+def test_sketches_tell_how_similar_sets_are():
+    rng = np.random.default_rng(8)
+    for i, share in enumerate([1.0, 0.9, 0.8, 0.8, 0.8, 0.6, 0.5, 0.0] * 3):
+        n = 3000 if i % 2 else 90
+        common = round(2 * n * share / (1 + share))
+        pool = rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+        apart = int(near_dup.sketch_apart(near_dup.sketch(np.sort(pool[:n])), near_dup.sketch(np.sort(pool[n - common :]))))
+        assert abs(apart - 0.75 * near_dup.SKETCH * (1 - common / (2 * n - common))) < 110
+        assert share < 0.8 or apart <= near_dup.SKETCH_DISTANCE
+        assert share > 0.6 or apart > near_dup.SKETCH_DISTANCE
+
+
+def test_cells_make_each_close_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pack = lambda s: np.bitwise_or.reduce(s.astype(np.uint64).reshape(-1, 4) << (np.arange(4, dtype=np.uint64) * np.uint64(16)), axis=1).astype(np.int64)
+    base = rng.integers(0, 1 << near_dup.BITS, near_dup.SLOTS)
+    slots = [np.where(rng.random(near_dup.SLOTS) < rng.random() * 0.5, rng.integers(0, 1 << near_dup.BITS, near_dup.SLOTS), base) for _ in range(90)]
+    sketches = [np.where(rng.random(64) < 0.1, rng.integers(0, 2**62, 64), 5) for _ in slots]
+    n, comp = rng.integers(80, 120, len(slots)), rng.integers(0, 60, len(slots))
+    rows = [(i, pack(s).tolist(), k, key) for i, s in enumerate(slots) for k, key in [(None, None)]]
+    keyed = spark.createDataFrame([(i, s) for i, s, _, _ in rows], "rep long, sig array<long>").selectExpr("*").select("rep", "sig", near_dup.F.posexplode(near_dup.bucket_keys()).alias("k", "key")).collect()
+    want = set()
+    for a in range(len(slots)):
+        for b in range(a):
+            if (slots[a] != slots[b]).sum() <= near_dup.DISTANCE and comp[a] != comp[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]):
+                if near_dup.sketch_apart(sketches[a], sketches[b]) <= near_dup.SKETCH_DISTANCE:
+                    want.add((a, b))
+    for blocks in (1, 4):
+        got = []
+        cells = {}
+        for r in keyed:
+            mine = r["rep"] * 7 % blocks
+            for other in range(blocks):
+                cells.setdefault((r["key"], min(mine, other), max(mine, other)), []).append((mine, r["k"], r["rep"]))
+        for (key, i, j), members in cells.items():
+            at = [m[2] for m in members]
+            cell = {"key": [key], "i": [i], "j": [j], "block": [m[0] for m in members], "k": [m[1] for m in members], "rep": at, "comp": comp[at], "n": n[at]}
+            cell = {c: np.array(x) for c, x in cell.items()} | {"sig": np.array([pack(slots[x]) for x in at]), "sketch": np.array([sketches[x] for x in at])}
+            u, v = near_dup._pairs_of(cell, 80)
+            got += zip(u.tolist(), v.tolist(), strict=True)
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_a_loose_group_makes_few_pairs(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(150):  # copies of which two are about 0.6 alike: close in signature, seldom in sketch
+        w = list(base)
+        for _ in range(7):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    scratch = Scratch(spark, "t")
+    scratch.drop = lambda *frames: None
+    saved = {}
+    save = scratch.save
+    scratch.save = lambda df, name="t": saved.setdefault(f"{name}-{len(saved)}", save(df, name))
+    got = near_dup.near_duplicates(frame(spark, rows), shingle=4, scratch=scratch).collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == brute_components(rows, 4)
+    rest = next(df for name, df in saved.items() if name.startswith("rest"))
+    assert rest.count() == rest.distinct().count() < 0.1 * len(rows) * len(rows) / 2
+
+
+def test_no_link_at_the_threshold_is_lost(spark, duck):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, rows), shingle=4).collect()}
+    sets = {i: near_dup.shingle_set((t or "").encode(), 4) for i, t in rows}
+    held = {}
+    for i, s in sets.items():
+        for x in s.tolist():
+            held.setdefault(x, []).append(i)
+    links = 0
+    for i in [i for i in sets if i % 7 == 0]:  # every link of one document in seven, found by its shingles
+        shared = {}
+        for x in sets[i].tolist():
+            for j in held[x]:
+                shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if j != i and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                links += 1
+                assert got[i] == got[j]
+    assert links > 5
+
+
 # byte-pair encoding
 
 
