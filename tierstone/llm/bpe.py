@@ -363,7 +363,7 @@ class Encoder:
         if self.held > REMEMBERED // 2:
             # what has been met since the last time stays
             self.known, self.before, self.held = {}, self.known, 0
-        again = met.intersection(self.before).difference(self.known)
+        again = [c for c in met.difference(self.known) if c in self.before]
         self.known |= {c: self.before[c] for c in again}
         self.held += 250 * len(again)
         self._learn(met.difference(self.known))

@@ -28,9 +28,9 @@ from tierstone.llm.common import Scratch, own_columns, table
 #: Ids a block; blocks coded in step at most; ids between two updates of order 0; weight of a seen id against an unseen one.
 BLOCK, LANES, REFRESH, SEEN = 4096, 1024, 1024, 32
 #: Entries of the order-1 and order-2 tables of a block (powers of two), and the greatest odds of a prediction, in sixteenths.
-ORDER1, ORDER2, ODDS = 4096, 8192, 240
-#: Ids are below this; chunks of text a worker remembers; documents' end.
-IDS, REMEMBERED, END = 1 << 16, 500_000, 2
+ORDER1, ORDER2, ODDS = 2048, 4096, 240
+#: Ids are below this; chunks of text that a task remembers, and the longest in characters that it does; documents' end.
+IDS, REMEMBERED, LONG_CHUNK, END = 1 << 16, 100_000, 256, 2
 _WINDOW, _SETTLED, _FLOOR = np.uint64((1 << 48) - 1), np.uint64(32), np.uint64(1 << 28)
 _U = np.uint64
 
@@ -40,12 +40,12 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.at1, self.at2 = np.arange(lanes) * ORDER1, np.arange(lanes) * ORDER2
-        self.guess = [np.zeros(lanes * n, np.int64) for n in (ORDER1, ORDER2)]
-        self.trust = [np.zeros(lanes * n, np.int8) for n in (ORDER1, ORDER2)]
+        #: guessed id and, from bit 16 on, the trust in it
+        self.guess = [np.zeros(lanes * n, np.uint32) for n in (ORDER1, ORDER2)]
         self.hits = [np.zeros((lanes, 4), np.int64) for _ in range(2)]
         self.tries = [np.zeros((lanes, 4), np.int64) for _ in range(2)]
-        #: how often each id occurred in the block, and how many lower ids did, as of the last refresh
-        self.counts, self.lower = np.zeros((lanes, IDS + 1), np.uint16), np.zeros((lanes, IDS + 1), np.uint16)
+        #: how many ids of the block were lower than each, as of the last refresh; what two neighbours differ by is the count of one
+        self.lower = np.zeros((lanes, IDS + 1), np.uint16)
         self.seen = np.zeros((lanes, 0), np.int64)  # sorted ids of the block so far, as of the last refresh
         self.last = [np.zeros(lanes, np.int64) for _ in range(2)]
 
@@ -53,8 +53,8 @@ class _Model:
         lanes, new = len(ids), ids[:, self.seen.shape[1] :]
         self.seen = np.sort(ids, axis=1)
         if new.shape[1]:
-            np.add.at(self.counts.reshape(-1), (new + 1 + (np.arange(lanes) * (IDS + 1))[:, None]).ravel(), np.uint16(1))
-            np.cumsum(self.counts, axis=1, dtype=np.uint16, out=self.lower)
+            for lane in range(lanes):
+                self.lower[lane, 1:] += np.cumsum(np.bincount(new[lane], minlength=IDS), dtype=np.uint16)
         #: F0 of the k-th seen id, without those equal to it before: strictly rising within a lane
         self.steps = (self.seen + SEEN * np.arange(self.seen.shape[1])[None, :] + (np.arange(lanes) * (IDS + SEEN * BLOCK))[:, None]).ravel()
 
@@ -81,10 +81,11 @@ class _Model:
         out = []
         one, two = self.last[0][lanes], self.last[1][lanes]
         for k, at in ((0, self.at1[lanes] + (one & (ORDER1 - 1))), (1, self.at2[lanes] + ((one * 40503 + two * 30011 >> 3) & (ORDER2 - 1)))):
-            trust = self.trust[k][at]
+            entry = self.guess[k][at]
+            trust = (entry >> np.uint32(16)).astype(np.int64)
             h, t = self.hits[k][lanes, trust], self.tries[k][lanes, trust]
             odds = np.minimum(16 * (2 * h + 1) // (2 * (t - h) + 1), ODDS)
-            out.append((at, self.guess[k][at], trust, np.where(trust > 0, total * odds >> 4, 0)))
+            out.append((at, (entry & np.uint32(0xFFFF)).astype(np.int64), trust, np.where(trust > 0, total * odds >> 4, 0)))
         return total, out
 
     def learn(self, lanes: np.ndarray, ids: np.ndarray, predicted) -> None:
@@ -93,8 +94,8 @@ class _Model:
             self.tries[k][lanes, trust] += 1
             self.hits[k][lanes, trust] += hit & (trust > 0)
             weak = ~hit & (trust <= 1)
-            self.trust[k][at] = np.where(hit, np.minimum(trust + 1, 3), np.where(weak, 1, trust - 1))
-            self.guess[k][at] = np.where(weak, ids, guess)
+            now = np.where(hit, np.minimum(trust + 1, 3), np.where(weak, 1, trust - 1))
+            self.guess[k][at] = now << 16 | np.where(weak, ids, guess)
         self.last[1][lanes] = self.last[0][lanes]
         self.last[0][lanes] = ids
 
@@ -198,7 +199,9 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
             s2, e2 = b2 + m1 * (g1 < g2), b2 + f2 + m2 + m1 * (g1 <= g2)
             in1, in2 = (at >= s1) & (at < e1), (at >= s2) & (at < e2)
             rest = at - m1 * (at >= e1) - m2 * (at >= e2)
-            x = np.where(in1, g1, np.where(in2, g2, model.find(lanes, np.clip(rest, 0, zero - 1))))
+            x = np.where(in1, g1, g2)
+            missed = np.flatnonzero(~in1 & ~in2)
+            x[missed] = model.find(lanes[missed], np.clip(rest[missed], 0, zero - 1))
             below, mass = model.below(lanes, x)
             for _, guess, _, m in predicted:
                 below = below + m * (guess < x)
@@ -263,23 +266,27 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.forget()
 
     def encode(self, text: str) -> np.ndarray:
         found = chunks(text)
-        if new := set(found).difference(self.known):
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-                new = set(found)
-            new = list(new)
-            for chunk, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(got.ids, "<u2").tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, found)), "<u2")
+        if len(self.known) > REMEMBERED:
+            # what has been met since the last time stays
+            self.known, self.before = {"": b""}, self.known
+        met = set(found).difference(self.known)
+        self.known |= {c: self.before[c] for c in met if c in self.before}
+        new = list(met.difference(self.before))
+        fresh = {c: np.array(got.ids, "<u2").tobytes() for c, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
+        self.known |= {c: ids for c, ids in fresh.items() if len(c) <= LONG_CHUNK}
+        return np.frombuffer(b"".join([fresh[c] if c in fresh else self.known[c] for c in found] if fresh else map(self.known.__getitem__, found)), "<u2")
+
+    def forget(self) -> None:
+        self.known, self.before = {"": b""}, {}
 
 
 @cache
 def word_encoder(path: str) -> WordEncoder:
-    """One for all tasks of a worker: what it has met stays known."""
+    """One library tokenizer for all tasks of a worker. What a task remembers goes with it."""
     return WordEncoder(path)
 
 
@@ -307,6 +314,7 @@ def _writing(path: str):
         writer.close()
         while writer.blocks:
             yield flush()
+        encoder.forget()
 
     return write
 
@@ -344,15 +352,16 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     totals, sofar, offsets = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}, 0, {}
     for shard in sorted(totals):
         offsets[shard], sofar = sofar, sofar + totals[shard]
-    parts = blocks.mapInArrow(_reading, "shard int, block long, at long, doc_id long, part long, parts long, n long, ids binary")
     if offsets:
         offset = F.element_at(F.expr(f"array({','.join(f'{offsets.get(s, 0)}L' for s in range(max(offsets) + 1))})"), F.col("shard") + 1)
     else:
         offset = F.lit(0).cast("long")
-    parts = parts.withColumn("start", offset + F.col("at"))
-    whole = parts.where("parts = 1").select("doc_id", "start", F.col("n").alias("n_tokens"), "ids")
+    # a document that spans blocks has them to itself, so blocks of either kind are decoded once
+    parted = F.col("segments")[0]["parts"] > 1
+    read = lambda kind: blocks.where(kind).mapInArrow(_reading, "shard int, block long, at long, doc_id long, part long, parts long, n long, ids binary").withColumn("start", offset + F.col("at"))
+    whole = read(~parted).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids")
     first = F.col("block") - F.col("part")
-    gathered = parts.where("parts > 1").groupBy("shard", first.alias("head")).agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
+    gathered = read(parted).groupBy("shard", first.alias("head")).agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
     joined = F.expr("aggregate(transform(p, x -> x.ids), X'', (a, x) -> concat(a, x))")
     return whole.union(gathered.select("doc_id", "start", "n_tokens", joined))
 
