@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tierstone.functions.protocol import U64_TYPE, unsigned
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OCTETS = "application/octet-stream"
 #: Content types by extension (fixed values).
@@ -58,7 +60,7 @@ class KeyOptions:
 
 
 def percent_decode(s: Column) -> Column:
-    """%hh becomes its byte; a malformed % and every + stay."""
+    """%hh becomes its byte; a malformed % and every + stay. Columns of text hold UTF-8: decoded bytes that are none become U+FFFD, where a server would keep them."""
     return F.url_decode(F.regexp_replace(F.regexp_replace(s, r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
@@ -100,24 +102,26 @@ def derive_key_from_relpath(relpath: Column, o: KeyOptions = KeyOptions()) -> Co
     return _joined(None, canonical_path(relpath), F.lit(""), o)
 
 
-_NUMBER = "[0-9]{1,18}"
-
-
 def _let(value: Column, body) -> Column:
     """body(value), with value evaluated once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def parse_range(header: Column) -> Column:
-    """struct(kind, a, b) of one byte range; null if the header has none that holds."""
-    range_ = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("a"), y.cast("long").alias("b"))
+    """struct(kind, a, b) of one byte range; null if the header has none that holds. Blanks may stand around the header and both its numbers, which are unsigned 64-bit with any leading zeros."""
+    range_ = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast(U64_TYPE).alias("a"), y.cast(U64_TYPE).alias("b"))
+    spec = r"^[ \t]*bytes=[ \t]*([0-9]*)[ \t]*-[ \t]*([0-9]*)[ \t]*$"
 
     def parsed(p: Column) -> Column:
-        a, b = F.element_at(p, 1), F.element_at(p, 2)
-        return F.when(F.size(p) < 2, None).when(a.isNull() & (b > 0), range_("suffix", b, F.lit(0))).when(a.isNotNull() & b.isNull(), range_("from", a, F.lit(0))).when(b >= a, range_("closed", a, b))
+        a, b = unsigned(p["low"]), unsigned(p["high"])
+        return (
+            F.when((p["low"] == "") & (b > 0), range_("suffix", b, F.lit(0)))
+            .when((p["high"] == "") & a.isNotNull(), range_("from", a, F.lit(0)))
+            .when((p["low"] != "") & (p["high"] != "") & (b >= a), range_("closed", a, b))
+        )
 
-    spec = F.regexp_extract(header, rf"^bytes=[ \t]*({_NUMBER}-(?:{_NUMBER})?|-{_NUMBER})[ \t]*$", 1)
-    return _let(F.transform(F.split(spec, "-"), lambda x: x.try_cast("long")), parsed)
+    ends = F.when(header.rlike(spec), F.struct(F.regexp_extract(header, spec, 1).alias("low"), F.regexp_extract(header, spec, 2).alias("high")))
+    return _let(ends, parsed)
 
 
 def resolve_range(r: Column, size: Column) -> Column:
@@ -193,7 +197,7 @@ def parse_head(raw: Column) -> Column:
     end = F.instr(raw, "\r\n\r\n")
     lines = F.split(F.substring(raw, F.lit(1), F.greatest(end - 1, F.lit(0))), "\r\n")
     first = F.element_at(lines, 1)
-    ok = first.rlike(r"^[A-Z]+ [^ ]+ HTTP/1\.[01]$") & F.forall(F.slice(lines, 2, 65), lambda x: x.rlike("^[^: \t][^:]*:")) & (F.size(lines) <= 65)
+    ok = first.rlike(r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+ [^ ]+ HTTP/1\.[01]$") & F.forall(F.slice(lines, 2, 65), lambda x: x.rlike("^[^: \t][^:]*:")) & (F.size(lines) <= 65)
     named = lambda name: F.regexp_replace(F.try_element_at(F.filter(lines, lambda x: x.rlike(f"(?i)^{name}:")), F.lit(-1)), r"(?i)^[^:]*:[ \t]*|[ \t]+$", "")
     method, minor = F.substring_index(first, " ", 1), F.substring(first, -1, 1).cast("string")
     connection = F.translate(named("connection"), UPPER, LOWER)

@@ -49,14 +49,21 @@ def buddy_bytes(size: Column, arena: int, least: int = DEVICE_BLOCK) -> Column:
 
 
 def plan_reads(reads: DataFrame, bucket: str, offset: str, length: str, stripe: int, drives: int) -> DataFrame:
-    """One row for each stripe that a read touches, in order: chunk, drive, file_offset, length, and `at`, where it stands in the read. Empty reads touch none."""
-    kept = reads.where(F.col(length) > 0)
+    """One row for each stripe that a read touches, in order: chunk, drive, file_offset, length, and `at`, where it stands in the read. Empty reads touch none.
+
+    The bucket, unsigned 64-bit, is reduced once a read: to its drive, and to how many stripes remain before the sum wraps. A
+    stripe takes arithmetic on longs alone.
+    """
+    wide = F.col(bucket).cast("decimal(21,0)")
+    left = F.least(F.lit(str(2**64)).cast("decimal(21,0)") - wide, F.lit(2**62).cast("decimal(21,0)"))
+    kept = reads.where(F.col(length) > 0).withColumn("first_", F.pmod(wide, F.lit(drives).cast("decimal(21,0)")).cast("long")).withColumn("left_", left.cast("long"))
     chunks = kept.withColumn("chunk", F.explode(F.expr(f"sequence({offset} div {stripe}, ({offset} + {length} - 1) div {stripe})")))
     begin, end = F.greatest(F.col(offset), F.col("chunk") * stripe), F.least(F.col(offset) + F.col(length), (F.col("chunk") + 1) * stripe)
+    drive = F.pmod(F.col("first_") + F.col("chunk") - F.when(F.col("chunk") >= F.col("left_"), F.lit(2**64 % drives)).otherwise(0), F.lit(drives).cast("long"))
     return chunks.select(
         *reads.columns,
         "chunk",
-        drive_of(F.col(bucket), F.col("chunk"), drives).alias("drive"),
+        drive.cast("int").alias("drive"),
         (F.expr(f"(chunk div {drives}) * {stripe}") + F.pmod(begin, F.lit(stripe))).alias("file_offset"),
         (end - begin).alias("seg_length"),
         (begin - F.col(offset)).alias("at"),

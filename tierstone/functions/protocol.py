@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTH, U32 = 2_592_000, 4_294_967_295
+MONTH, U32, U64 = 2_592_000, 4_294_967_295, 2**64 - 1
+U64_TYPE = "decimal(20,0)"
 CLASSIC = ("get", "gets", "set", "add", "replace", "cas", "delete", "version", "quit", "stats")
 #: Error names, in the order of their numbers (fixed values).
 ERRORS = ("ok", "not_found", "already_exists", "cas_mismatch", "out_of_space", "out_of_memory", "too_large", "invalid_argument", "invalid_protocol", "io_error", "unsupported", "backpressure_timeout", "would_block")
 
 
-def number(token: Column, most: int | None = None, signed: bool = False) -> Column:
-    """A whole token as a number, or null."""
-    ok = token.rlike("^-?[0-9]{1,18}$" if signed else "^[0-9]{1,18}$")
-    value = F.when(ok, token.try_cast("long"))
-    return value if most is None else F.when(value <= most, value)
+def unsigned(token: Column, most: int = U64) -> Column:
+    """A whole token of digits, with any leading zeros, as a number of at most `most`, or null: a long up to 32 bits, else a decimal."""
+    plain = F.regexp_replace(token, "^0+(?=[0-9])", "")
+    value = F.when(token.rlike("^[0-9]+$") & (F.length(plain) <= 20), plain.try_cast(U64_TYPE))
+    kept = F.when(value <= F.lit(str(most)).cast(U64_TYPE), value)
+    return kept.cast("long") if most <= U32 else kept
+
+
+def signed(token: Column) -> Column:
+    """A whole token as a signed 64-bit number, or null."""
+    return F.when(token.rlike("^-?[0-9]+$"), token.try_cast("long"))
 
 
 def _tokens(line: Column) -> Column:
@@ -29,7 +36,7 @@ def parse_classic(line: Column) -> Column:
     verb = at(0)
     stores = F.coalesce(verb.isin("set", "add", "replace", "cas"), F.lit(False))
     keyed = F.coalesce(verb.isin("get", "gets", "delete"), F.lit(False))
-    flags, exptime, size, cas = number(at(2), U32), number(at(3), U32), number(at(4)), number(at(5))
+    flags, exptime, size, cas = unsigned(at(2), U32), unsigned(at(3), U32), unsigned(at(4)), unsigned(at(5))
     whole = flags.isNotNull() & exptime.isNotNull() & size.isNotNull() & ((verb != "cas") | cas.isNotNull())
     ok = F.coalesce(F.when(stores, whole).when(keyed, at(1).isNotNull()).otherwise(verb.isin(*CLASSIC)), F.lit(False))
     good = lambda x: F.when(ok & stores, x)
@@ -57,24 +64,24 @@ def parse_meta(line: Column) -> Column:
     known = F.forall(
         flags,
         lambda x: F.substring(x, 1, 1).isin(*"vfstckqO")
-        | (x.startswith("F") & number(F.substring(x, F.lit(2), F.lit(99)), U32).isNotNull())
-        | (x.startswith("T") & number(F.substring(x, F.lit(2), F.lit(99)), signed=True).isNotNull())
-        | (x.startswith("C") & number(F.substring(x, F.lit(2), F.lit(99))).isNotNull())
+        | (x.startswith("F") & unsigned(F.substring(x, F.lit(2), F.lit(1 << 20)), U32).isNotNull())
+        | (x.startswith("T") & signed(F.substring(x, F.lit(2), F.lit(1 << 20))).isNotNull())
+        | (x.startswith("C") & unsigned(F.substring(x, F.lit(2), F.lit(1 << 20))).isNotNull())
         | (x.startswith("M") & (F.length(x) > 1)),
     )
-    ok = F.coalesce((verb == "mn") | (verb.isin("mg", "ms", "md") & at(1).isNotNull() & ((verb != "ms") | number(at(2)).isNotNull()) & known), F.lit(False))
+    ok = F.coalesce((verb == "mn") | (verb.isin("mg", "ms", "md") & at(1).isNotNull() & ((verb != "ms") | unsigned(at(2)).isNotNull()) & known), F.lit(False))
     keyed = ok & (verb != "mn")
     wanted = F.array_compact(F.array(*[F.when(has(c), c) for c in "vfstck"]))
     return F.struct(
         ok.alias("ok"),
         F.when(ok, verb).alias("verb"),
         F.when(keyed, at(1)).alias("key"),
-        F.when(keyed & (verb == "ms"), number(at(2))).alias("datalen"),
+        F.when(keyed & (verb == "ms"), unsigned(at(2))).alias("datalen"),
         F.when(keyed, wanted).alias("rf"),
         (keyed & has("q")).alias("q"),
-        F.when(keyed, number(last("F"))).alias("f"),
-        F.when(keyed, number(last("T"), signed=True)).alias("t"),
-        F.when(keyed, number(last("C"))).alias("c"),
+        F.when(keyed, unsigned(last("F"), U32)).alias("f"),
+        F.when(keyed, signed(last("T"))).alias("t"),
+        F.when(keyed, unsigned(last("C"))).alias("c"),
         F.when(keyed, F.coalesce(F.substring(last("M"), 1, 1), F.lit("S"))).alias("mode"),
         F.when(keyed, F.coalesce(last("O"), F.lit(""))).alias("opaque"),
     )

@@ -156,7 +156,7 @@ def q13_relpath_keys(spark, d):
 
 
 def _range(size: str) -> str:
-    return f"""CASE doc_id % 8 WHEN 0 THEN 'bytes=0-99' WHEN 1 THEN 'bytes=' || ({size} - 50) || '-' WHEN 2 THEN 'bytes=-500' WHEN 3 THEN 'bytes=999999999-' WHEN 4 THEN 'bytes=5-2' WHEN 5 THEN 'bytes=10-20,30-40' WHEN 6 THEN 'items=0-9' ELSE ' bytes=1-2' END"""
+    return f"""CASE doc_id % 14 WHEN 8 THEN ' bytes=1-2 ' WHEN 9 THEN 'bytes= 0 - 99' WHEN 10 THEN 'bytes=1000000000000000000-' WHEN 11 THEN 'bytes=0-18446744073709551615' WHEN 12 THEN 'bytes=-000000000000000000000000500' WHEN 13 THEN 'bytes=0-18446744073709551616' WHEN 0 THEN 'bytes=0-99' WHEN 1 THEN 'bytes=' || ({size} - 50) || '-' WHEN 2 THEN 'bytes=-500' WHEN 3 THEN 'bytes=999999999-' WHEN 4 THEN 'bytes=5-2' WHEN 5 THEN 'bytes=10-20,30-40' WHEN 6 THEN 'items=0-9' ELSE ' bytes=1-2' END"""
 
 
 _EVAL_COLS = f"""CASE doc_id % 11 WHEN 0 THEN 'HEAD' WHEN 1 THEN 'PUT' ELSE 'GET' END AS method, CASE doc_id % 5 WHEN 0 THEN NULL ELSE {_range('size')} END AS range_header,
@@ -184,20 +184,22 @@ def _split_columns(text: str) -> list[str]:
     return [*out, now]
 
 
+#: A byte range by its rules: blanks around the whole and around both ends.
+_SPEC = "^[ \t]*bytes=[ \t]*([0-9]*)[ \t]*-[ \t]*([0-9]*)[ \t]*$"
 _RANGE_SQL = f"""{V.OBJ}, t AS (SELECT *, '"' || lower(to_base(size, 16)) || '-' || lower(to_base(etag, 16)) || '"' AS tag FROM obj), h AS (SELECT *, {_EVAL_COLS} FROM t),
-n AS (SELECT *, regexp_extract(range_header, '^bytes=([0-9]*)-([0-9]*)$', 1) AS ra, regexp_extract(range_header, '^bytes=([0-9]*)-([0-9]*)$', 2) AS rb FROM h),
-k AS (SELECT *, CASE WHEN ra = '' AND rb <> '' AND try_cast(rb AS BIGINT) > 0 THEN 'suffix' WHEN ra <> '' AND rb = '' THEN 'from' WHEN ra <> '' AND try_cast(rb AS BIGINT) >= try_cast(ra AS BIGINT) THEN 'closed' END AS kind,
-  try_cast(nullif(ra, '') AS BIGINT) AS a, try_cast(nullif(rb, '') AS BIGINT) AS b FROM n),
-v AS (SELECT *, CASE kind WHEN 'suffix' THEN CASE WHEN size > 0 THEN size - least(b, size) END ELSE CASE WHEN a < size THEN a END END AS off FROM k),
-z AS (SELECT *, CASE kind WHEN 'closed' THEN least(b, size - 1) - off + 1 ELSE size - off END AS len FROM v),
+n AS (SELECT *, regexp_extract(range_header, '{_SPEC}', 1) AS ra, regexp_extract(range_header, '{_SPEC}', 2) AS rb FROM h),
+k AS (SELECT *, CASE WHEN ra = '' AND rb <> '' AND try_cast(rb AS UBIGINT) > 0 THEN 'suffix' WHEN rb = '' AND try_cast(nullif(ra, '') AS UBIGINT) IS NOT NULL THEN 'from' WHEN ra <> '' AND try_cast(nullif(rb, '') AS UBIGINT) >= try_cast(ra AS UBIGINT) THEN 'closed' END AS kind,
+  try_cast(nullif(ra, '') AS UBIGINT)::HUGEINT AS a, try_cast(nullif(rb, '') AS UBIGINT)::HUGEINT AS b FROM n),
+v AS (SELECT *, CASE kind WHEN 'suffix' THEN CASE WHEN size > 0 THEN (size - least(b, size))::BIGINT END ELSE CASE WHEN a < size THEN a::BIGINT END END AS off FROM k),
+z AS (SELECT *, CASE kind WHEN 'closed' THEN least(b, size - 1)::BIGINT - off + 1 ELSE size - off END AS len FROM v),
 e AS (SELECT *, CASE WHEN NOT host_ok THEN 421 WHEN method NOT IN ('GET', 'HEAD') THEN 405 WHEN NOT found THEN 404 WHEN coalesce(contains(inm, '*') OR contains(inm, tag), false) THEN 304
   WHEN method = 'GET' AND kind IS NOT NULL AND off IS NULL THEN 416 WHEN method = 'GET' AND kind IS NOT NULL THEN 206 ELSE 200 END AS status FROM z)"""
 
 
-@query(f"WITH {_RANGE_SQL} SELECT key, kind, CASE kind WHEN 'suffix' THEN b WHEN 'from' THEN a WHEN 'closed' THEN a END AS a, CASE kind WHEN 'closed' THEN b WHEN 'suffix' THEN 0 WHEN 'from' THEN 0 END AS b FROM k")
+@query(f"WITH {_RANGE_SQL} SELECT key, kind, (CASE kind WHEN 'suffix' THEN b WHEN 'from' THEN a WHEN 'closed' THEN a END)::VARCHAR AS a, (CASE kind WHEN 'closed' THEN b WHEN 'suffix' THEN 0 WHEN 'from' THEN 0 END)::VARCHAR AS b FROM k")
 def q14_parse_range(spark, d):
     rows = _evaluated(spark, d).select("key", http.parse_range(F.col("range_header")).alias("r"))
-    return rows.select("key", "r.kind", "r.a", "r.b")
+    return rows.select("key", "r.kind", F.col("r.a").cast("string").alias("a"), F.col("r.b").cast("string").alias("b"))
 
 
 @query(f"WITH {_RANGE_SQL} SELECT key, off, CASE WHEN off IS NOT NULL THEN len END AS len FROM z WHERE kind IS NOT NULL")
@@ -248,28 +250,31 @@ def q19_response_head(spark, d):
     return rows.select("key", http.response_head(c("status"), c("size"), c("body_len"), http.content_type(c("key")), c("tag"), c("content_range"), F.lit(True)).alias("head"))
 
 
-def _bodies(spark, d, length):
-    """key, body (hex) of the 206 answers; length: SQL of how many bytes of the range the body has."""
+def _bodies(spark, d):
+    """key, body (hex) of the 206 answers, whole."""
     rows = _evaluated(spark, d).where("e.status = 206").select("key", "doc_id", "e.body_off", "e.body_len")
     texts = V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("value"))
-    return rows.join(texts, "doc_id").select("key", F.lower(F.hex(F.expr(f"substring(value, int(body_off) + 1, int({length}))"))).alias("body"))
+    return rows.join(texts, "doc_id").select("key", F.lower(F.hex(F.expr("substring(value, int(body_off) + 1, int(body_len))"))).alias("body"))
 
 
-@query(
-    f"WITH {_RANGE_SQL} SELECT key, lower(hex(encode(text))[2 * off + 1:2 * (off + least(len, 64))]) AS body FROM e JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) USING (doc_id) WHERE status = 206"
-)
+_BODIES = f"WITH {_RANGE_SQL} SELECT key, lower(hex(encode(text))[2 * off + 1:2 * (off + len)]) AS body FROM e JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) USING (doc_id) WHERE status = 206"
+
+
+@query(_BODIES)
 def q20_ranged_bytes(spark, d):
-    return _bodies(spark, d, "least(body_len, 64)")
+    return _bodies(spark, d)
 
 
-@query(f"WITH {_RANGE_SQL} SELECT key, lower(hex(encode(text))[2 * off + 1:2 * (off + len)]) AS body FROM e JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) USING (doc_id) WHERE status = 206")
+@query(_BODIES)
 def q20_ranged_bytes_whole(spark, d):
-    return _bodies(spark, d, "body_len")
+    """q20_ranged_bytes, under the name that it had while that showed 64 bytes of a range."""
+    return _bodies(spark, d)
 
 
 # protocol
 
-_LINE = """CASE seq % 7 WHEN 0 THEN verb || ' ' || key || ' ' || flags || '  ' || exptime || ' ' || bytes WHEN 1 THEN 'set ' || key || ' ' || flags || ' ' || exptime || ' ' || bytes || ' noreply'
+_LINE = """CASE seq % 11 WHEN 7 THEN 'cas ' || key || ' 1 0 5 18446744073709551615' WHEN 8 THEN 'set ' || key || ' 0007 00000000000000000000009 1234567890123456789' WHEN 9 THEN 'set ' || key || ' 1 1 18446744073709551616'
+ WHEN 10 THEN 'cas ' || key || ' 4294967295 4294967295 10000000000000000000 0' WHEN 0 THEN verb || ' ' || key || ' ' || flags || '  ' || exptime || ' ' || bytes WHEN 1 THEN 'set ' || key || ' ' || flags || ' ' || exptime || ' ' || bytes || ' noreply'
  WHEN 2 THEN 'cas ' || key || ' 1 0 5 ' || seq WHEN 3 THEN 'set ' || key || ' a b c' WHEN 4 THEN 'get ' || key || ' other' WHEN 5 THEN 'incr ' || key || ' 1' ELSE 'set ' || key || ' 4294967296 0 1' END"""
 
 
@@ -279,23 +284,23 @@ p AS (SELECT *, t[1] IN ('set', 'add', 'replace', 'cas') AS st, t[1] IN ('get',
 n AS (SELECT *, CASE WHEN st THEN try_cast(t[3] AS UINTEGER) IS NOT NULL AND try_cast(t[4] AS UINTEGER) IS NOT NULL AND try_cast(t[5] AS UBIGINT) IS NOT NULL AND (t[1] <> 'cas' OR try_cast(t[6] AS UBIGINT) IS NOT NULL)
   WHEN kd THEN t[2] IS NOT NULL ELSE t[1] IN ('version', 'quit', 'stats') END AS ok FROM p)
 SELECT seq, ok, CASE WHEN ok THEN t[1] END AS verb, CASE WHEN ok AND (st OR kd) THEN t[2] END AS key, CASE WHEN ok AND st THEN t[3]::BIGINT END AS flags, CASE WHEN ok AND st THEN t[4]::BIGINT END AS exptime,
-  CASE WHEN ok AND st THEN t[5]::BIGINT END AS bytes, CASE WHEN ok AND t[1] = 'cas' THEN t[6]::BIGINT END AS cas, ok AND (st OR t[1] = 'delete') AND coalesce(CASE t[1] WHEN 'cas' THEN t[7] WHEN 'delete' THEN t[3] ELSE t[6] END = 'noreply', false) AS noreply FROM n"""
+  CASE WHEN ok AND st THEN t[5]::UBIGINT::VARCHAR END AS bytes, CASE WHEN ok AND t[1] = 'cas' THEN t[6]::UBIGINT::VARCHAR END AS cas, ok AND (st OR t[1] = 'delete') AND coalesce(CASE t[1] WHEN 'cas' THEN t[7] WHEN 'delete' THEN t[3] ELSE t[6] END = 'noreply', false) AS noreply FROM n"""
 )
 def q21_parse_classic(spark, d):
-    return V.commands(spark, d).select("seq", protocol.parse_classic(F.expr(_LINE)).alias("c")).select("seq", "c.*")
+    return V.commands(spark, d).select("seq", protocol.parse_classic(F.expr(_LINE)).alias("c")).select("seq", "c.*").withColumns({c: F.col(c).cast("string") for c in ("bytes", "cas")})
 
 
-_META_LINE = """CASE seq % 6 WHEN 0 THEN 'mg ' || key || ' v f s t c k T90 Oabc' WHEN 1 THEN 'ms ' || key || ' ' || bytes || ' F7 T300 C' || seq || ' ME q' WHEN 2 THEN 'mg ' || key || ' Z' WHEN 3 THEN 'md ' || key || ' C1 C2 k' WHEN 4 THEN 'mn' ELSE 'ms ' || key || ' x' END"""
+_META_LINE = """CASE seq % 6 WHEN 0 THEN 'mg ' || key || ' v f s t c k T90 Oabc' WHEN 1 THEN 'ms ' || key || ' ' || bytes || ' F7 T300 C' || (18446744073709500000 + seq) || ' ME q' WHEN 2 THEN 'mg ' || key || ' Z' WHEN 3 THEN 'md ' || key || ' C1 C2 k' WHEN 4 THEN 'mn' ELSE 'ms ' || key || ' x' END"""
 
 
 @query(
     f"""WITH {V.CMD} SELECT seq, seq % 6 NOT IN (2, 5) AS ok, CASE seq % 6 WHEN 0 THEN 'mg' WHEN 1 THEN 'ms' WHEN 3 THEN 'md' WHEN 4 THEN 'mn' END AS verb, CASE WHEN seq % 6 IN (0, 1, 3) THEN key END AS key,
-  CASE WHEN seq % 6 = 1 THEN bytes END AS datalen, CASE seq % 6 WHEN 0 THEN 'vfstck' WHEN 1 THEN '' WHEN 3 THEN 'k' END AS rf, seq % 6 = 1 AS q, CASE WHEN seq % 6 = 1 THEN 7 END::BIGINT AS f, CASE seq % 6 WHEN 0 THEN 90 WHEN 1 THEN 300 END::BIGINT AS t,
-  CASE seq % 6 WHEN 1 THEN seq WHEN 3 THEN 2 END::BIGINT AS c, CASE seq % 6 WHEN 0 THEN 'S' WHEN 1 THEN 'E' WHEN 3 THEN 'S' END AS mode, CASE seq % 6 WHEN 0 THEN 'abc' WHEN 1 THEN '' WHEN 3 THEN '' END AS opaque FROM cmd"""
+  CASE WHEN seq % 6 = 1 THEN bytes::VARCHAR END AS datalen, CASE seq % 6 WHEN 0 THEN 'vfstck' WHEN 1 THEN '' WHEN 3 THEN 'k' END AS rf, seq % 6 = 1 AS q, CASE WHEN seq % 6 = 1 THEN 7 END::BIGINT AS f, CASE seq % 6 WHEN 0 THEN 90 WHEN 1 THEN 300 END::BIGINT AS t,
+  CASE seq % 6 WHEN 1 THEN (18446744073709500000 + seq)::VARCHAR WHEN 3 THEN '2' END AS c, CASE seq % 6 WHEN 0 THEN 'S' WHEN 1 THEN 'E' WHEN 3 THEN 'S' END AS mode, CASE seq % 6 WHEN 0 THEN 'abc' WHEN 1 THEN '' WHEN 3 THEN '' END AS opaque FROM cmd"""
 )
 def q22_parse_meta(spark, d):
     rows = V.commands(spark, d).select("seq", protocol.parse_meta(F.expr(_META_LINE)).alias("m")).select("seq", "m.*")
-    return rows.withColumn("rf", F.array_join("rf", ""))
+    return rows.withColumns({"rf": F.array_join("rf", "")} | {c: F.col(c).cast("string") for c in ("datalen", "c")})
 
 
 @query(
