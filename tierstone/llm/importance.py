@@ -98,16 +98,19 @@ def median_share(counts: DataFrame) -> float | None:
     return None if middle is None else float(np.exp(middle))
 
 
-def _tried(tables, bits: int, order: int, step: float, reach: float):
-    """Counts of labelled documents by part, good, choice and bin of the weight that the other parts' tables give."""
+def _tried(tables, bits: int, order: int, step: float, reach: float, smooth: float, sures: tuple[float, ...]):
+    """Counts of labelled documents by part, good, choice and bin of the weight that the other parts' counts give. Ratios are made for a document's buckets, so a worker holds two counts a bucket and part and no table of each choice."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, by_part = tables.value
-        at, found = np.zeros(order << bits, np.int32), {}
-        at[buckets] = np.arange(1, len(buckets) + 1)
+        buckets, raw, left, shares = tables.value
+        at, found = np.full(order << bits, -1, np.int32), {}
+        at[buckets] = np.arange(len(buckets))
         for batch in batches:
             for text, part, good in zip(*batch.columns, strict=True):
-                weights = by_part[part.as_py()][at[gram_buckets(text.as_py(), bits, order)]].sum(axis=0)
+                got = at[gram_buckets(text.as_py(), bits, order)]
+                got, p = got[got >= 0], part.as_py()
+                counts, target = raw[got].astype(np.float64), left[p][got]
+                weights = np.array([_ratios(counts, target, shares[p], smooth, s).sum() for s in sures])
                 for choice, b in enumerate(np.floor(np.clip(weights, -reach, reach) / step).astype(int).tolist()):
                     key = (part.as_py(), good.as_py(), choice, b)
                     found[key] = found.get(key, 0) + 1
@@ -148,19 +151,17 @@ def fit_ratios(docs: DataFrame, marks: DataFrame, scratch: Scratch, bits: int =
     rows = counts.where(some).orderBy("bucket").toArrow()
     scratch.drop(counts)
     buckets, raw, target = (rows.column(c).to_numpy() for c in ("bucket", "raw", "target"))
-    by_part = {}
-    for p, t in enumerate(_TARGETS, 1):
-        left = target - rows.column(t).to_numpy()
-        by_part[p] = np.vstack([np.zeros(len(sures)), np.stack([_ratios(raw, left, share * rest[p], smooth, s) for s in sures], axis=1)]).astype(np.float32)
-    tables = docs.sparkSession.sparkContext.broadcast((buckets, by_part))
+    by_part = {p: (target - rows.column(t).to_numpy()).astype(np.int32) for p, t in enumerate(_TARGETS, 1)}
+    tables = docs.sparkSession.sparkContext.broadcast((buckets.astype(np.int32), raw, by_part, {p: share * rest[p] for p in by_part}))
     tried = docs.join(nearest(marks, most_tried), F.col("id") == F.col("t_id")).select(text, "t_part", "good")
-    tried = tried.mapInArrow(_tried(tables, bits, order, STEP, REACH), "part long, good boolean, choice long, b long, n long").groupBy("part", "good", "choice", "b").agg(F.sum("n").alias("n")).collect()
+    tried = tried.mapInArrow(_tried(tables, bits, order, STEP, REACH, smooth, sures), "part long, good boolean, choice long, b long, n long").groupBy("part", "good", "choice", "b").agg(F.sum("n").alias("n")).collect()
     costs = []
     for choice, sure in enumerate(sures):
         each = [_best({r["b"]: r["n"] for r in tried if (r["part"], r["choice"]) == (p, choice) and r["good"]}, {r["b"]: r["n"] for r in tried if (r["part"], r["choice"]) == (p, choice) and not r["good"]}) for p in by_part]
         each = [found[0] for found in each if found]
         costs += [(round(sum(each) / len(each), 12), abs(sure - SURE), sure)] if each else []
     sure = min(costs)[2] if costs else SURE
+    tables.unpersist()
     ratios = _ratios(raw, target, share, smooth, sure)
     return buckets[ratios != 0], ratios[ratios != 0], sure
 
