@@ -31,7 +31,6 @@ def test_plans_push_down_and_prune(spark, sf_dir):
 def test_bodies_of_ranges_are_whole(spark, sf_dir):
     found = registry.queries()
     want = {r["key"]: r["body_len"] for r in found["q18_status"](spark, sf_dir).where("status = 206").collect()}
-    cut = {r["key"]: r["body"] for r in found["q20_ranged_bytes"](spark, sf_dir).collect()}
-    got = {r["key"]: r["body"] for r in found["q20_ranged_bytes_whole"](spark, sf_dir).collect()}
-    assert {k: len(b) // 2 for k, b in got.items()} == want and max(want.values()) > 64
-    assert all(b.startswith(cut[k]) for k, b in got.items()) and len(cut) == len(got)
+    for name in ("q20_ranged_bytes", "q20_ranged_bytes_whole"):
+        got = {r["key"]: r["body"] for r in found[name](spark, sf_dir).collect()}
+        assert {k: len(b) // 2 for k, b in got.items()} == want and max(want.values()) > 64
