@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import same
 from tierstone.llm import decontaminate, pii, quality_rules, secrets, sharding
-from tierstone.llm.common import table
+from tierstone.llm.common import Scratch, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, source string, lang string, row string, range string"
@@ -230,6 +230,26 @@ def test_names_of_many_words_are_replaced_whole(spark):
     assert not set(m.groups()) & set(re.findall(r"\w+", text))
 
 
+def test_untitled_mentions_get_the_surrogates_of_the_titled_ones(spark):
+    text = "Mr John Smith called. John Smith said hi; Smith's left. Smithson, smith and McSmith stay. (555) 123-4567, Dr-Smith"
+    rows = [(1, text), (2, "John Smith stays where no title names him."), (3, "Mrs Smith Smith. Smith")]
+    got = {r["doc_id"]: r for r in pii.replace_entities(frame(spark, rows), "k").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) called\. (\w+) (\w+) said hi; (\w+)'s left\. Smithson, smith and McSmith stay\. (\(\d{3}\) \d{3}-\d{4}), Dr-Smith", got[1]["text"])
+    assert m and m[1] == m[3] != "John" and m[2] == m[4] == m[5] != "Smith" and m[6] != "(555) 123-4567" and got[1]["n_phone"] == 1 == got[1]["n_name"]
+    assert got[2]["text"] == rows[1][1]
+    last = re.fullmatch(r"Mrs (\w+) (\w+)\. (\w+)", got[3]["text"])
+    assert last and last[2] == last[3] == m[2]
+
+
+def test_surrogates_leave_nothing_in_clear_behind(spark, tmp_path):
+    scratch = Scratch(spark, "t")
+    scratch.root = f"file://{tmp_path}/s"
+    out = pii.replace_entities(frame(spark, [(40, PEOPLE)]), "k", scratch=scratch)
+    assert out.count() == 1
+    kept = [spark.read.parquet(str(p)).collect() for p in (tmp_path / "s").iterdir()]
+    assert len(kept) == 1 and not re.search("Smith|John|555|x.com|10.0.0.1", str(kept))
+
+
 def test_surrogates_are_distinct_and_new(spark, monkeypatch):
     rows = [(i, f"u{i % 300}@mail.example.com and 10.{i % 7}.{i % 250}.1") for i in range(600)]
     got = pii.replace_entities(frame(spark, rows), "k").collect()
@@ -240,7 +260,6 @@ def test_surrogates_are_distinct_and_new(spark, monkeypatch):
 
 
 def test_few_values_left_are_reported(spark, monkeypatch):
-    from tierstone.llm.common import Scratch
 
     monkeypatch.setattr(pii, "ROUNDS", 3)
     monkeypatch.setattr(pii, "draw_surrogates", lambda left, key: left.withColumn("surrogate", F.lit("ip:1.1.1.1")))

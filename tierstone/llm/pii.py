@@ -21,7 +21,7 @@ _WORD = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})*",
-    "phone": r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
 }
@@ -33,12 +33,14 @@ SYLLABLES = {
     "cyrillic": ("ба бе би бо да де ди до га ге ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се та те ти то ва ве ви".split(), ("н", "на", "ко")),
     "greek": ("βα βε βι βο δα δε δι δο γα γε κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε τα τε τι το".split(), ("ς", "να", "ου")),
 }
+#: Words of a gap between mentions, and what stands between them; together they are the whole gap.
+_PIECE = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*|[^\p{L}\p{N}]+"
 #: Surrogates that may be broadcast; rounds of drawing again.
 MOST_BROADCAST, ROUNDS = 200_000, 32
 
 
 def _kind(m: Column) -> Column:
-    return F.when(m.contains("@"), "email").when(m.rlike(rf"^(?:{_TITLE})\.?\x20"), "name").when(m.startswith("+"), "phone").when(m.rlike(rf"^{PATTERNS['ip']}$"), "ip").otherwise("card")
+    return F.when(m.contains("@"), "email").when(m.rlike(rf"^(?:{_TITLE})\.?\x20"), "name").when(m.startswith("+") | m.startswith("("), "phone").when(m.rlike(rf"^{PATTERNS['ip']}$"), "ip").otherwise("card")
 
 
 def _digits(m: Column) -> Column:
@@ -72,13 +74,15 @@ _LOCAL = (
 
 
 def _made_up_name(byte) -> Column:
-    """Four syllables and an ending of the entity's script and gender."""
+    """Four syllables and an ending of the entity's script and gender; a fifth and a sixth for those that keep colliding."""
     script = F.when(F.col("value").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("value").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     out = F.lit(None).cast("string")
     for name, (syllables, (male, female, neither)) in SYLLABLES.items():
         from_ = F.split(F.lit(" ".join(syllables)), " ")
         ending = F.when(F.col("type") == "given_m", male).when(F.col("type") == "given_f", female).otherwise(neither)
-        made = F.concat(*[F.element_at(from_, F.pmod(byte(i), F.lit(len(syllables))) + 1) for i in range(4)], ending)
+        one = lambda i: F.element_at(from_, F.pmod(byte(i), F.lit(len(syllables))) + 1)  # noqa: B023, E731
+        more = [F.when(F.col("turn") > turn, one(i)).otherwise("") for i, turn in ((4, 2), (5, 6))]
+        made = F.concat(*[one(i) for i in range(4)], *more, ending)
         out = F.when(script == name, F.initcap(made)).otherwise(out)
     return out
 
@@ -108,18 +112,20 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def assign_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """entity, surrogate for each of the distinct entities. No two of a type share a surrogate and none is an entity that occurs."""
+    """entity, surrogate for each of the distinct entities, as a table in scratch that the caller drops. No two of a type share a surrogate and none is an entity that occurs. What else it wrote is dropped, for it has entities in clear."""
     entities = scratch.save(entities.select("entity").distinct(), "entities")
-    done, left = None, entities.withColumn("turn", F.lit(0))
+    done, left, spent = None, entities.withColumn("turn", F.lit(0)), [entities]
     for turn in range(ROUNDS):
         drawn = scratch.save(draw_surrogates(left, key), "drawn")
         free = drawn.join(entities.withColumnRenamed("entity", "surrogate"), "surrogate", "left_anti")
         if done is not None:
             free = free.join(done.select("surrogate"), "surrogate", "left_anti")
         won = free.groupBy("surrogate").agg(F.min("entity").alias("entity")).select("entity", "surrogate")
-        done = scratch.save(won if done is None else done.union(won), "done")
+        before, done = done, scratch.save(won if done is None else done.union(won), "done")
         left = scratch.save(entities.join(done, "entity", "left_anti").withColumn("turn", F.lit(turn + 1)), "left")
+        spent += [drawn, left] + ([] if before is None else [before])
         if left.isEmpty():
+            scratch.drop(*spent)
             return done
     raise RuntimeError("some entities found no free surrogate: their format has too few values")
 
@@ -131,11 +137,21 @@ def _rewritten() -> Column:
     return F.when(F.col("kind").isin("phone", "card"), digits).when(F.col("kind") == "name", F.concat(title, F.array_join(F.concat("v2", F.array("v1")), " "))).otherwise(F.col("v1"))
 
 
+def _untitled(gap: Column, names: Column) -> Column:
+    """gap with the surrogates of names (old, new) for the words that are such names; a possessive ending stays."""
+    own = lambda t: F.regexp_replace(t, "['’]s$|['’-]+$", "")
+    one = lambda t: F.coalesce(F.get(F.filter(names, lambda n: n["old"] == own(t)), F.lit(0))["new"], own(t))
+    word = lambda t: F.when(t.rlike(r"^\p{Lu}"), F.concat(one(t), F.substring(t, F.length(own(t)) + 1, F.length(t)))).otherwise(t)
+    return F.array_join(F.transform(F.regexp_extract_all(gap, F.lit(_PIECE), F.lit(0)), word), "")
+
+
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_email, n_name, n_phone, n_ip, n_card, text for each row of docs; text has surrogates for the entities.
 
-    The key decides the surrogates; without it they can't be told from the entities. Null texts stay null and count nothing.
-    Repeated rows give equal rows. An empty table gives none.
+    The key decides the surrogates; without it they can't be told from the entities. The words of a titled name get their
+    surrogates wherever they stand in the same text, with a title or without; n_name counts titled ones. (A word that is a
+    surname and a given name there is taken for the surname.) Null texts stay null and count nothing. Repeated rows give equal
+    rows. An empty table gives none. Scratch keeps keyed hashes of mentions and their surrogates, nothing in clear.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col})
@@ -144,12 +160,15 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     found = rows.withColumn("ms", mentions)
     keyed = _keys(found.select(F.explode("ms").alias("m")).groupBy("m").count())
     entities = keyed.select(F.explode(F.concat(F.array("e1"), "e2")).alias("entity"))
-    given = scratch.save(assign_surrogates(entities, key, scratch).select("entity", F.expr("substring(surrogate, instr(surrogate, ':') + 1)").alias("v")), "surrogates")
+    assigned = assign_surrogates(entities, key, scratch)
+    given = assigned.select("entity", F.expr("substring(surrogate, instr(surrogate, ':') + 1)").alias("v"))
+    hashed = lambda m: F.sha2(F.concat_ws("|", F.lit(key), m), 256)
     few = given.count() <= MOST_BROADCAST
     parts = keyed.select("m", "kind", F.posexplode(F.concat("e2", F.array("e1"))).alias("i", "entity")).join(F.broadcast(given) if few else given, "entity")
     named = parts.groupBy("m", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("vs"))
     named = named.select("m", "kind", F.element_at("vs", -1).alias("v1"), F.slice("vs", F.lit(1), F.size("vs") - 1).alias("v2"))
-    named = scratch.save(named.select(F.col("m").alias("k"), "kind", _rewritten().alias("s")), "mentions")
+    named = scratch.save(named.select(hashed(F.col("m")).alias("k"), "kind", _rewritten().alias("s")), "mentions")
+    scratch.drop(assigned)
     side = F.broadcast(named) if named.count() <= MOST_BROADCAST else named
 
     counts = [f"n_{k}" for k in KINDS]
@@ -157,12 +176,20 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     some = found.where(F.size("ms") > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "ms", F.split("text", ANY).alias("gaps"))
     pieces = some.select("row", "doc_id", F.posexplode("gaps").alias("i", "gap"), F.col("ms")).select("row", "doc_id", "i", "gap", F.expr("get(ms, i)").alias("m"))
     # the text behind the last mention has none itself; it joins nothing, under a key of its own row lest all meet in one task
-    joined = pieces.withColumn("k", F.coalesce("m", F.concat(F.lit("-:"), F.col("row").cast("string")))).join(side, "k", "left")
-    written = joined.select("row", "doc_id", "i", "gap", "kind", F.coalesce("s", F.lit("")).alias("s"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "gap", "s"))), lambda x: F.concat(x["gap"], x["s"])), "")
-    whole = written.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS], text.alias("text"))
+    joined = pieces.withColumn("k", F.coalesce(F.when(F.col("m").isNotNull(), hashed(F.col("m"))), F.concat(F.lit("-:"), F.col("row").cast("string")))).join(side, "k", "left")
+    # old and new words of a titled name, its surname first
+    bare = lambda c: F.reverse(F.split(F.regexp_replace(c, rf"^(?:{_TITLE})\.?\x20", ""), " "))
+    names = F.when(F.col("kind") == "name", F.arrays_zip(bare(F.col("m")).alias("old"), bare(F.col("s")).alias("new")))
+    written = joined.select("row", "doc_id", "i", "gap", "kind", F.coalesce("s", F.lit("")).alias("s"), names.alias("names"))
+    pieces = F.array_sort(F.collect_list(F.struct("i", "gap", "s"))).alias("pieces")
+    whole = written.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS], pieces, F.collect_set("names").alias("names"))
+    last, rest = F.transform("names", lambda n: n[0]), F.flatten(F.transform("names", lambda n: F.slice(n, F.lit(2), F.size(n))))
+    whole = whole.withColumn("names", F.array_distinct(F.concat(last, rest)))
+    gap = lambda x: F.when(F.size("names") > 0, _untitled(x["gap"], F.col("names"))).otherwise(x["gap"])
+    whole = whole.withColumn("text", F.array_join(F.transform("pieces", lambda x: F.concat(gap(x), x["s"])), ""))
     return without.union(whole.select("doc_id", *counts, "text"))
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents"), key="tierstone")
+    """replace_entities on documents. The key is the session's setting spark.tierstone.pii.key; the default, which everybody can read, serves tests only."""
+    return replace_entities(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.tierstone.pii.key", "tierstone"))
