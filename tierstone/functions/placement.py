@@ -68,3 +68,34 @@ def plan_reads(reads: DataFrame, bucket: str, offset: str, length: str, stripe:
         (end - begin).alias("seg_length"),
         (begin - F.col(offset)).alias("at"),
     )
+
+
+def tier_parts(reads: DataFrame, offset: str, length: str, head: str, tiers: Tiers, three: bool = True) -> DataFrame:
+    """One row for each tier that a read of an object touches: tier (ram, ssd, hdd), begin (in that tier's file; in the head for ram), part_length and `at`, where it stands in the read.
+
+    head: bytes of the object that are resident, 0 if none. A read ends with the object (column size); one that starts behind it touches nothing.
+    """
+    places = layout(F.col("size"), tiers, three)
+    rows = reads.withColumn("end_", F.least(F.col(offset) + F.col(length), F.col("size"))).withColumn("ssd_", places["ssd"]).withColumn("hdd_", places["hdd"])
+    begin, end, ram, ssd = F.col(offset), F.col("end_"), F.col(head), F.col("ssd_")
+    on_ssd, on_hdd = F.greatest(begin, ram), F.greatest(begin, ssd)
+    part = lambda tier, at, size, file_at: F.struct(F.lit(tier).alias("tier"), file_at.alias("begin"), size.alias("part_length"), (at - begin).alias("at"))
+    parts = F.array(
+        part("ram", begin, F.least(end, ram) - begin, begin),
+        part("ssd", on_ssd, F.least(end, ssd) - on_ssd, on_ssd),
+        part("hdd", on_hdd, F.when(F.col("hdd_") > 0, end - on_hdd).otherwise(0), on_hdd - ssd),
+    )
+    each = rows.where((begin < F.col("size")) & (F.col(length) > 0)).withColumn("p", F.explode(F.filter(parts, lambda p: p["part_length"] > 0)))
+    return each.select(*reads.columns, "p.*")
+
+
+def value_pieces(begin: Column, end: Column, head: Column, chunk: int) -> Column:
+    """Pieces in which the bytes of [begin, end) that are not in the head are sent."""
+    return F.ceil(F.greatest(end - F.greatest(begin, head), F.lit(0)) / F.lit(chunk)).cast("long")
+
+
+def flushed_bytes(size: Column, tiers: Tiers, three: bool = True) -> Column:
+    """struct(ssd, hdd): bytes that a store writes to each tier. Only the tier that holds the tail is padded to whole device blocks."""
+    places = layout(size, tiers, three)
+    tail = places["hdd"] > 0
+    return F.struct(F.when(tail, places["ssd"]).otherwise(align_up(places["ssd"])).alias("ssd"), F.when(tail, align_up(size) - places["ssd"]).otherwise(0).cast("long").alias("hdd"))

@@ -110,3 +110,27 @@ def meta_flags(rf: Column, flags: Column, size: Column, expiry_: Column, etag: C
     ttl = F.when(expiry_ == 0, -1).otherwise(F.greatest(expiry_ - now, F.lit(0)))
     part = lambda letter, value: F.when(F.array_contains(rf, letter), F.concat(F.lit(f" {letter}"), value.cast("string"))).otherwise("")
     return F.concat(part("f", flags), part("s", size), part("t", ttl), part("c", etag), part("k", key), F.when(opaque != "", F.concat(F.lit(" O"), opaque)).otherwise(""))
+
+
+#: Bytes that may be waiting for the end of their line before the connection is dropped.
+MAX_LINE = 8192
+
+
+def refusal(line: Column, blocking: bool = False) -> Column:
+    """The reply to a line that no store has to be asked for: ERROR, CLIENT_ERROR and MN; null for all others. blocking: the mode that has neither meta verbs nor statistics."""
+    classic = parse_classic(line)
+    if blocking:
+        return F.when(~classic["ok"] | (classic["verb"] == "stats"), "ERROR")
+    meta = parse_meta(line)
+    return F.when(line.rlike("^m[ngsd]( |$)"), F.when(~meta["ok"], "CLIENT_ERROR bad meta command").when(meta["verb"] == "mn", "MN")).when(~classic["ok"], "ERROR")
+
+
+def split_lines(received: Column) -> Column:
+    """struct(lines, rest, dropped) of received text without data blocks: its whole lines, what waits for more, and whether that is too long."""
+    parts = F.split(received, "\r\n")
+    rest = F.element_at(parts, -1)
+    return F.struct(F.slice(parts, F.lit(1), F.size(parts) - 1).alias("lines"), rest.alias("rest"), (F.octet_length(rest) > MAX_LINE).alias("dropped"))
+
+
+def error_name(code: Column) -> Column:
+    return F.coalesce(F.when(code >= 0, F.get(F.array(*[F.lit(e) for e in ERRORS]), code)), F.lit("unknown"))

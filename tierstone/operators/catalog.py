@@ -65,3 +65,15 @@ def erase(objects: DataFrame, keys: DataFrame) -> DataFrame:
 def write_snapshot(objects: DataFrame, path: str) -> None:
     """A new snapshot under a path of its own: readers of the last one keep it, and a job that fails publishes nothing."""
     objects.write.mode("error").parquet(path)
+
+
+def set_head(objects: DataFrame, heads: DataFrame) -> DataFrame:
+    """objects with the head that heads (distinct digests, new_head) gives; digests that are absent do nothing."""
+    return objects.join(heads, "digest", "left").withColumn("head", F.coalesce("new_head", "head")).drop("new_head")
+
+
+def classify_gets(gets: DataFrame, objects: DataFrame, now) -> DataFrame:
+    """outcome for each get: hit, absent or expired; the last two are misses."""
+    got = lookup(gets, objects)
+    is_live = (F.col("expiry") == 0) | (F.col("expiry") > now)
+    return got.withColumn("outcome", F.when(F.col("etag").isNull(), "absent").when(is_live, "hit").otherwise("expired"))
