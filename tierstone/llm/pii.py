@@ -158,7 +158,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     may = F.col("text").rlike(r"[0-9@]") | F.col("text").rlike(rf"(?:{_TITLE})\.?\x20\p{{Lu}}")
     mentions = F.when(F.coalesce(may, F.lit(False)), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = rows.withColumn("ms", mentions)
-    keyed = _keys(found.select(F.explode("ms").alias("m")).groupBy("m").count())
+    keyed = scratch.save(_keys(found.select(F.explode("ms").alias("m")).groupBy("m").count()), "keyed")
     entities = keyed.select(F.explode(F.concat(F.array("e1"), "e2")).alias("entity"))
     assigned = assign_surrogates(entities, key, scratch)
     given = assigned.select("entity", F.expr("substring(surrogate, instr(surrogate, ':') + 1)").alias("v"))
@@ -168,7 +168,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     named = parts.groupBy("m", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("vs"))
     named = named.select("m", "kind", F.element_at("vs", -1).alias("v1"), F.slice("vs", F.lit(1), F.size("vs") - 1).alias("v2"))
     named = scratch.save(named.select(hashed(F.col("m")).alias("k"), "kind", _rewritten().alias("s")), "mentions")
-    scratch.drop(assigned)
+    scratch.drop(assigned, keyed)
     side = F.broadcast(named) if named.count() <= MOST_BROADCAST else named
 
     counts = [f"n_{k}" for k in KINDS]
