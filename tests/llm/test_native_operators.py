@@ -84,10 +84,12 @@ def brute_contamination(text, items, window=13):
     return len(w), len(hit), sorted(str(i) for i in found if i is not None)
 
 
-@pytest.mark.parametrize("most", [0, 50_000])
-def test_contamination_hard_rows(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "verified", "buckets"), [(5, 0, 4), (50_000, 50_000, 1 << 18)])
+def test_contamination_hard_rows(spark, monkeypatch, most, verified, buckets):
+    """A set in parts, no broadcast of windows and a table that lets all through change nothing."""
     monkeypatch.setattr(decontaminate, "MAX_SET", most)
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", verified)
+    monkeypatch.setattr(decontaminate, "FILTER", buckets)
     long = " ".join(f"w{i}" for i in range(30))
     items = [(1, long), (2, "One Two"), (3, None), (4, ""), (None, "no ID"), (6, long), (7, "é é")]
     rows = HARD + [(20, "x " + long.upper() + " y"), (21, " ".join(long.split()[3:18])), (22, "one-two, ONE TWO"), (23, " ".join(long.split()[:12]))]

@@ -1,23 +1,26 @@
 """Benchmark decontamination with a broadcast set of the benchmark's word n-grams.
 
-Items and documents are reduced to lower-cased words. A document's windows are hashed and looked up in the set of the
-benchmark's window hashes, inside the row; windows that pass are verified by joining their words with the benchmark's. Only
-verified windows are shuffled. The set travels with the tasks while it has at most MAX_SET hashes; beyond that, every window
-goes to the verifying join, which Spark then plans by size.
+Items and documents are reduced to lower-cased words. A document's windows are hashed. A table of FILTER bytes, a byte a bucket of
+hashes, lets those through, inside the row, whose bucket has a window of the benchmark; they are looked up in the broadcast set of
+the benchmark's hashes, and what is found there is verified by its words. Only then is anything shuffled. A set of more than MAX_SET
+hashes is broadcast in parts, each of which scans the documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.llm.common import ascii_lower, own_columns, split_words, table
+from tierstone.llm.common import Scratch, ascii_lower, let, own_columns, split_words, table
 
 #: Separators of words: ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Hashes that may be sent along with a task (a few MB), and windows that may be broadcast to verify them.
-MAX_SET, MAX_BROADCAST = 50_000, 200_000
+#: Buckets of the table that every task carries, hashes of a broadcast set (some 60 bytes each), and windows, with their words and
+#: items, that may be broadcast to verify hits. Beyond the last, Spark plans the verifying join by size.
+FILTER, MAX_SET, MAX_BROADCAST = 1 << 18, 2_000_000, 200_000
 
 
 def words(text: Column) -> Column:
@@ -26,7 +29,7 @@ def words(text: Column) -> Column:
 
 def _windows(w: str, length: int) -> str:
     """SQL for the start positions of a word array's windows."""
-    return f"if(size({w}) >= {length}, sequence(1, size({w}) - {length - 1}), cast(array() AS array<int>))"
+    return f"if(size({w}) >= {length}, sequence(1, size({w}) - {length} + 1), cast(array() AS array<int>))"
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -37,48 +40,69 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return whole.unionByName(cut).groupBy("gram", "len").agg(F.collect_set("item").alias("items"))
 
 
+def _passing(lengths: list[int], table_: Column, bucket: Callable[[Column], Column]) -> Column:
+    """Array of (pos, len, h) of those windows of the word array w whose bucket is marked in the table."""
+    if not lengths:
+        return F.expr("cast(array() AS array<struct<pos:int,len:int,h:bigint>>)")
+    hashed = lambda v, i, n: F.xxhash64(F.slice(v, i, n), n)
+    marked = lambda h: F.substring(table_, (bucket(h) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+
+    def of_length(v: Column, n: Column) -> Column:
+        starts = F.when(F.size(v) >= n, F.sequence(F.lit(1), F.size(v) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, lambda i: marked(hashed(v, i, n))), lambda i: F.struct(i.alias("pos"), n.alias("len"), hashed(v, i, n).alias("h")))
+
+    # let: the word array is bound to a lambda's variable, lest it be split anew for each window
+    return let(F.col("w"), lambda v: F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: of_length(v, n))))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids, as strings), spans (word positions [start, end), merged) for each row of docs.
 
     keep: columns of docs to carry, as keep_<name>. A word inside any occurrence of a window is hit. Null and empty texts have no
     words. Items without an id hit but are not listed; without words they do nothing. Repeated rows are judged one by one.
     """
-    grams = benchmark_windows(benchmark, item_col, item_text_col, window)
-    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # window lengths at most
-    n_grams = grams.count()
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    # the number of words is hashed too, so that one set serves all lengths
+    grams = scratch.save(benchmark_windows(benchmark, item_col, item_text_col, window).withColumn("h", F.expr("xxhash64(split(gram, ' '), len)")), "grams")
+    bucket = lambda h: F.pmod(h, F.lit(FILTER))
+    n_grams, lengths, buckets = grams.agg(F.count("*"), F.collect_set("len"), F.collect_set(bucket(F.col("h")))).first()  # window lengths and FILTER buckets at most
+    table_ = bytearray(FILTER)
+    for b in buckets:
+        table_[b] = 1
     base = own_columns(docs, {"doc_id": id_col, "text": text_col} | {f"keep_{c}": c for c in keep})
-    base = base.withColumn("w", words(F.col("text"))).drop("text")
-    inside = ""
-    if n_grams <= MAX_SET:
-        # the number of words is hashed too, so that one set serves all lengths
-        seen = grams.select(F.expr("xxhash64(split(gram, ' '), len)").alias("h")).distinct().collect()
-        inside = ",".join(f"{r['h']}L" for r in seen)
-    # let: the word array is bound to a lambda's variable, lest it be split anew for each window
-    found = [
-        f"transform(filter({_windows('v', n)}, i -> xxhash64(slice(v, i, {n}), {n}) IN ({inside})), i -> struct(i AS pos, {n} AS len, array_join(slice(v, i, {n}), ' ') AS gram))"
-        if inside
-        else f"transform({_windows('v', n)}, i -> struct(i AS pos, {n} AS len, array_join(slice(v, i, {n}), ' ') AS gram))"
-        for n in lengths
-    ]
-    none = "cast(array() AS array<struct<pos:int,len:int,gram:string>>)"
-    every = f"concat({', '.join(found)})" if found else none
     kept = [f"keep_{c}" for c in keep]
-    scanned = base.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        *kept,
-        F.expr(f"element_at(transform(array(w), v -> struct(size(v) AS n_words, {every} AS found)), 1)").alias("s"),
-    ).select("row", "doc_id", *kept, F.col("s.n_words").cast("long").alias("n_words"), F.explode_outer("s.found").alias("f"))
-    scanned = scanned.select("row", "doc_id", *kept, "n_words", F.col("f.pos").alias("pos"), F.col("f.len").alias("len"), F.col("f.gram").alias("gram"))
+    base = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", *kept, words(F.col("text")).alias("w"))
+    parts = max(1, -(-n_grams // MAX_SET))
+    if parts > 1:
+        base = scratch.save(base, "words")  # every scan has to see the same rows
+    found = _passing(sorted(lengths), F.lit(bytes(table_)), bucket)
+    # position 0 stands for the document itself and stays, whatever is found
+    own = F.expr("array(struct(0 AS pos, 0 AS len, cast(null AS bigint) AS h))")
+    verified = None
+    for part in range(parts):
+        at = F.concat(own, found) if part == 0 else found
+        scanned = base.select("row", "doc_id", *kept, "w", F.explode(at).alias("at")).select("row", "doc_id", *kept, "w", "at.pos", "at.len", "at.h")
+        hashes = grams.where(F.pmod("h", F.lit(parts)) == part).select(F.col("h").alias("g_h")).distinct()
+        seen = scanned.join(F.broadcast(hashes), F.col("h") == F.col("g_h"), "left").where("pos = 0 OR g_h IS NOT NULL")
+        itself = F.col("pos") == 0
+        seen = seen.select(
+            "row",
+            *[F.when(itself, F.col(c)).alias(c) for c in ("doc_id", *kept)],
+            F.when(itself, F.size("w").cast("long")).alias("n_words"),
+            "pos",
+            "len",
+            F.expr("CASE WHEN pos > 0 THEN array_join(slice(w, pos, len), ' ') END").alias("gram"),
+        )
+        verified = seen if verified is None else verified.unionByName(seen)
     right = grams.select(F.col("gram").alias("g_gram"), F.col("len").alias("g_len"), "items")
     if n_grams <= MAX_BROADCAST:
         right = F.broadcast(right)
     hit = F.col("items").isNotNull()
-    verified = scanned.join(right, (F.col("gram") == F.col("g_gram")) & (F.col("len") == F.col("g_len")), "left").select(
+    verified = verified.join(right, (F.col("gram") == F.col("g_gram")) & (F.col("len") == F.col("g_len")), "left").select(
         "row", "doc_id", *kept, "n_words", F.when(hit, F.struct("pos", "len")).alias("at"), "items"
     )
     by = verified.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "n_words", *kept)],
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "n_words", *kept)],
         F.array_sort(F.collect_set("at")).alias("at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
