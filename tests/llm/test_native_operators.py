@@ -1,7 +1,9 @@
 import base64
 import collections
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import pytest
@@ -202,6 +204,18 @@ def test_redaction(spark):
     assert secrets.redact(docs).columns == docs.columns and secrets.redact(frame(spark, [])).count() == 0
 
 
+def test_names_and_paths_are_no_candidates(spark):
+    rng = random.Random(1)
+    random_ = ["".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(20, 44))) for _ in range(300)]
+    live = [v for v in random_ if all(re.search(p, v) for p in ("[0-9]", "[A-Z]", "[a-z]"))]
+    rest = [v for v in live if 2 * len(re.sub("[a-z]{4,}|[A-Z]{4,}", "", v)) > len(v)]
+    assert len(rest) > 0.98 * len(live)  # the rule takes some random ones for names: 3.9 % of those of 20 characters, 1.5 % of 32
+    code = "see com/Example/Service2Factory/Main and AbstractSingletonProxy2FactoryBean or src/Main/java/Utf8StringReader_HTTP2_TEST"
+    docs = frame(spark, [(1, code), *[(i, f"x {v} y") for i, v in enumerate(random_, 100)]])
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert got[1] == code and sum(t == "x <SECRET> y" for t in got.values()) == len(rest)
+
+
 # personal data
 
 

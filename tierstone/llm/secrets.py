@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Three base patterns find secrets. Beyond them, every long mixed token is a candidate: candidates' hashes are counted by
-distinct repositories and owners over the whole corpus, and those that look live and stay with one owner are added, whereas
+Three base patterns find secrets. Beyond them, every long mixed token that isn't made of words (paths, names of classes) is a
+candidate: candidates' hashes are counted by distinct repositories and owners over the whole corpus, and those that stay with one owner are added, whereas
 values that many owners share (documentation, licences, sample keys) are told apart as examples.
 """
 
@@ -17,8 +17,9 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # maximal runs of 24 or more: the same as maximal runs of which short ones are dropped
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-#: A candidate beyond the base patterns: a run of 20 or more with a digit, an upper- and a lower-case letter.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: A candidate beyond the base patterns: a run of 20 or more with a digit, an upper- and a lower-case letter, of which less than
+#: half are in runs of four or more letters of one case. In names and paths more than half are; 3.9 % of random tokens of 20 characters look so too, 1.5 % of 32.
+CANDIDATE, WORDLIKE = r"[A-Za-z0-9+/_-]{20,}", "[a-z]{4,}|[A-Z]{4,}"
 #: A value of so many owners, or of one owner's so many repositories, is an example.
 MANY_OWNERS, MANY_REPOSITORIES = 3, 8
 KINDS = ("assign", "access", "hex", "owned")
@@ -43,7 +44,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repository_col: str, owner
     base = own_columns(docs, {"doc_id": id_col, "text": text_col, "repository": repository_col, "owner": owner_col} | {f"keep_{c}": c for c in keep})
     base = base.withColumn("text", F.coalesce("text", F.lit("")))
     found = [_spans("assign", ASSIGN, 1, ASSIGN_LEAST), _spans("access", ACCESS, 0, ACCESS_LEAST), _spans("hex", HEX, 0, 24)]
-    mixed = "x.value RLIKE '[0-9]' AND x.value RLIKE '[A-Z]' AND x.value RLIKE '[a-z]'"
+    mixed = f"x.value RLIKE '[0-9]' AND x.value RLIKE '[A-Z]' AND x.value RLIKE '[a-z]' AND 2 * length(regexp_replace(x.value, '{WORDLIKE}', '')) > length(x.value)"
     owned = f"filter({_spans('owned', CANDIDATE, 0, 20)}, x -> {mixed})"
     return base.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", *[f"keep_{c}" for c in keep], F.expr(f"concat({', '.join(found)})").alias("base"), F.expr(owned).alias("more")
@@ -145,7 +146,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS ow
 every AS ({union}),
 base AS (SELECT * FROM every WHERE kind < 3),
 more AS (SELECT * FROM every e WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
+  AND 2 * length(regexp_replace(v, '{WORDLIKE}', '', 'g')) > length(v) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
 s AS (SELECT * FROM base UNION ALL SELECT * FROM more),
 o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM s GROUP BY v),
 j AS (SELECT s.*, (owners >= {MANY_OWNERS} OR repositories >= {MANY_REPOSITORIES}) AS example,
