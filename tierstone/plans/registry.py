@@ -514,19 +514,16 @@ def _trace(spark, d):
 
 @query()
 def q46_head_cache(spark, d):
-    trace = _trace(spark, d).withColumn("cache", F.lit("heads"))
-    return eviction.simulate(trace, {"heads": eviction.CacheConfig()})
+    return eviction.simulate(_trace(spark, d), {"heads": eviction.CacheConfig()})
 
 
 @query()
 def q47_object_bound(spark, d):
-    trace = _trace(spark, d).withColumn("cache", F.lit("bound"))
-    return eviction.simulate(trace, {"bound": eviction.CacheConfig(max_objects=20)})
+    return eviction.simulate(_trace(spark, d), {"bound": eviction.CacheConfig(max_objects=20)})
 
 
 @query()
 def q48_hit_ratio_by_size(spark, d):
     sizes = {f"{n}": eviction.CacheConfig(memory=n * 65536, max_objects=n * 6) for n in (1, 2, 4, 8, 16)}
-    trace = _trace(spark, d).withColumn("cache", F.explode(F.array(*[F.lit(c) for c in sizes])))
-    gets = eviction.simulate(trace, sizes).where("op = 'get'")
+    gets = eviction.simulate(_trace(spark, d), sizes).where("op = 'get'")
     return gets.groupBy("cache").agg(F.count("*").alias("gets"), F.count_if(F.col("outcome") != "miss").alias("hits"), F.count_if(F.col("outcome") == "head").alias("head_hits"))
