@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tierstone.operators.machine import REPLY, Key
 
 STATE = StructType([StructField(n, LongType()) for n in ("size", "flags", "expiry", "etag")])
+#: Commands in a file of a log, and of those of one key as many as become Python objects at once.
+FILE_ROWS, PART = 1 << 19, 1 << 13
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,22 +29,48 @@ class KeyProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         machine = Key(tuple(self.version.get()) if self.version.exists() else None, self.reap)
-        batch = pd.concat(list(rows)).sort_values("seq")
-        out = []
-        for c in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-            reply, stored = machine.apply(c)
-            state = machine.state or (None,) * 4
-            out.append((key[0], c["seq"], reply, stored, machine.state is not None, *state))
+        batch = pd.concat([r.drop(columns="digest") for r in rows]).sort_values("seq")
+        for at in range(0, len(batch), PART):
+            values, out = batch.iloc[at : at + PART].to_numpy(object), []
+            values[pd.isna(values)] = None
+            for row in values.tolist():
+                c = dict(zip(batch.columns, row, strict=True))
+                reply, stored = machine.apply(c)
+                state = machine.state or (None,) * 4
+                out.append((key[0], c["seq"], reply, stored, machine.state is not None, *state))
+            columns = dict(zip((c.split()[0] for c in REPLY.split(", ")), zip(*out, strict=True), strict=True))
+            yield pd.DataFrame({n: pd.array(x, "Int64") if n in STATE.names else list(x) for n, x in columns.items()})
         if machine.state is None:
             self.version.clear()
         else:
             self.version.update(tuple(int(x) for x in machine.state))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLY.split(", ")]).astype({n: "Int64" for n in ("size", "flags", "expiry", "etag")})
 
     def close(self) -> None:
         pass
 
 
+def write_log(commands: DataFrame, path: str, file_rows: int | None = None) -> int:
+    """Writes commands as a log of files of about file_rows commands, FILE_ROWS by default, and returns how many files.
+
+    Ranges of seq are parted in parallel first. A stream takes files in the order of their times, so the ranges then become files one
+    after another. Raises if the store's times do not tell the files apart.
+    """
+    spark, parts = commands.sparkSession, f"{path}-parts"
+    n = -(-commands.count() // (file_rows or FILE_ROWS)) or 1
+    commands.repartitionByRange(n, "seq").withColumn("part_", F.spark_partition_id()).write.partitionBy("part_").parquet(parts)
+    found = sorted(r["part_"] for r in spark.read.schema(commands.withColumn("part_", F.lit(0)).schema).parquet(parts).select("part_").distinct().collect())
+    for part in found:
+        ranged = spark.read.schema(commands.schema).parquet(f"{parts}/part_={part}")
+        ranged.coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+    if not found:
+        commands.limit(0).write.parquet(path)
+    files = spark.read.parquet(path).groupBy("_metadata.file_path", "_metadata.file_modification_time").agg(*(F.coalesce(f("seq"), F.lit(-(1 << 63))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
+    files = sorted(files.collect(), key=lambda r: (r["file_modification_time"], -r["low"]))
+    if any(b["low"] <= a["high"] for a, b in zip(files, files[1:], strict=False)):
+        raise RuntimeError("the store's times do not tell the files of the log apart")
+    return len(files)
+
+
 def read_commands(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
     """A stream of command files. Backpressure is the number of files a batch takes; none is ever shed."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
