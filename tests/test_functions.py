@@ -138,3 +138,9 @@ def test_config():
         bad[0].validated()
     assert [parse_size(x) for x in ("4G", "16m", "7", "1k", "x", "", "-1")] == [4 << 30, 16 << 20, 7, 1024, None, None, None]
     assert len(protocol.ERRORS) == 13
+
+
+def test_meta_token_beyond_64_bits_is_refused(spark):
+    """q22's SQL takes such tokens from seq 51,616 on; the protocol does not."""
+    rows = spark.createDataFrame([(f"ms k 5 T300 C{2**64 - 1 + i}",) for i in (0, 1)], "line string").select(protocol.parse_meta(F.col("line")).alias("m")).collect()
+    assert [(r["m"]["ok"], r["m"]["c"] and int(r["m"]["c"])) for r in rows] == [(True, 2**64 - 1), (False, None)]
