@@ -1,15 +1,18 @@
 import hashlib
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.conftest import same
 from tests.llm.test_native_operators import HARD, frame
 from tierstone.llm import bpe, importance, near_dup, range_coder, warc
-from tierstone.llm.common import Scratch, table
+from tierstone.llm.common import Scratch, table, tidy
 
 BYTE, WORD = bpe.vocabulary("byte_bpe_50k.json"), bpe.vocabulary("word_bpe_49k.json")
 TEXTS = ["a<|endoftext|>b <|endoftext|>", "Hello  world 's\n\n xոy \U00010940 z", "é" * 5 + " ", "\x1c a　b", "it's 12 3/4 naïve — ok\t\r\n", " " * 9, "\x85x\xa0y"]
@@ -187,6 +190,60 @@ def test_a_loose_group_makes_few_pairs(spark):
     assert rest.count() == rest.distinct().count() < 0.1 * len(rows) * len(rows) / 2
 
 
+def test_members_of_buckets_meet_their_sketches_in_one_join(spark):
+    scratch, plans = Scratch(spark, "t"), {}
+    save = scratch.save
+    scratch.save = lambda df, name="t": (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), save(df, name))[1]
+    near_dup.near_duplicates(frame(spark, [(1, "a b c d e"), (2, "a b c d f")]), scratch=scratch)
+    lines = plans["rest"].splitlines()
+    depth = [re.search(r"\w", x).start() for x in lines]
+    at = next(i for i, x in enumerate(lines) if "Relation [" in x and "blocks#" in x)
+    above, least = [], depth[at]
+    for i in range(at, -1, -1):
+        if depth[i] < least:
+            least = depth[i]
+            above.append(lines[i])
+    assert sum("Join " in x for x in above) == 2  # what describes them, and the pairs that were tried
+
+
+def test_confirming_unpacks_few_texts_at_once():
+    n = 2 * near_dup.PAIRS + 10
+    texts = [b"a b c d e f", b"x y z u v w"]
+    batch = pa.RecordBatch.from_pydict({"u": list(range(n)), "v": [0] * n, "tu": [texts[i % 2] for i in range(n)], "tv": [texts[0]] * n})
+    got = list(near_dup._confirmed(5, 80)(iter([batch])))
+    assert len(got) == 3 and [u for b in got for u in b.column(0).to_pylist()] == list(range(0, n, 2))
+
+
+def _anonymous_mb():
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read")
+def test_what_a_task_took_goes_back():
+    kept = []
+
+    def grow(batches):
+        made = [bytes(1000 + i % 7) for i in range(200_000)]
+        kept.extend(made[::500])  # between them, the C library keeps what is freed
+        yield from batches
+
+    before = _anonymous_mb()
+    assert list(tidy(grow)(iter([1, 2]))) == [1, 2] and len(kept) == 400
+    assert _anonymous_mb() - before < 60
+
+
+def test_workers_are_tidied(spark, monkeypatch):
+    """Every function that the stages of the pipeline hand to workers gives its memory back."""
+    seen, real = [], type(frame(spark, [])).mapInArrow
+    monkeypatch.setattr(type(frame(spark, [])), "mapInArrow", lambda df, f, *a, **k: (seen.append(f.__qualname__), real(df, f, *a, **k))[1])
+    docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f g"), (3, "z")])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 4)], "doc_id long, quality int, toxic int")
+    importance.importance_resample(docs, labels)
+    near_dup.near_duplicates(docs)
+    bpe.decode_documents(bpe.encode_documents(docs, BYTE), BYTE)
+    assert len(seen) >= 8 and set(seen) == {"tidy.<locals>.run"}
+
+
 def test_no_link_at_the_threshold_is_lost(spark, duck):
     sf = "/root/testdata/sf0.01"
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]

@@ -27,14 +27,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.llm.common import Scratch, own_columns, table
+from tierstone.llm.common import Scratch, give_back, own_columns, table, tidy
 
 #: Pieces in the lexicon at most; the longest piece in bytes that may enter it, or be merged along with others.
 LEXICON, LONGEST = 100_000, 64
 #: Bytes of chunks and their ids that a task remembers, and the longest chunk in characters that it does.
-REMEMBERED, LONG_CHUNK = 96 << 20, 256
+REMEMBERED, LONG_CHUNK = 64 << 20, 256
 #: Characters that are cut into pieces at once, distinct chunks counted before they are handed on, and bytes of text a batch.
-PART, COUNTED, BATCH = 1 << 20, 250_000, 4 << 20
+PART, COUNTED, BATCH = 1 << 19, 250_000, 1 << 20
 #: How text falls into pieces (fixed by the vocabulary).
 PIECE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECE = regex.compile(PIECE)
@@ -404,8 +404,10 @@ class Encoder:
 
 @lru_cache(1)
 def _vocabulary(path: str) -> Vocabulary:
-    """One for all tasks of a worker: a few MB of arrays."""
-    return Vocabulary(path)
+    """One for all tasks of a worker: a few MB of arrays, made of a file that takes ten times as much to read."""
+    made = Vocabulary(path)
+    give_back()
+    return made
 
 
 def _counting(path: str):
@@ -451,7 +453,7 @@ def most_frequent(counts: DataFrame, size: int) -> list[str]:
 def compile_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text", size: int = LEXICON) -> str:
     """Counts the pieces of every text, compiles the most frequent ones, hands the file to the executors, and returns its name there."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lexicon")
-    counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_counting(vocabulary_path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(_counting(vocabulary_path)), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
     words = [p.encode() for p in most_frequent(counts, size)]
     scratch.drop(counts)
@@ -511,13 +513,13 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     """
     name = lexicon or compile_lexicon(docs, vocabulary_path, text_col)
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col})
-    return rows.mapInArrow(_encoding(vocabulary_path, name, decode), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary" + ", decoded string" * decode)
+    return rows.mapInArrow(tidy(_encoding(vocabulary_path, name, decode)), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary" + ", decoded string" * decode)
 
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """The columns of encode_documents and decoded, the text; bytes that are no UTF-8 become U+FFFD."""
     rows = encoded.select("doc_id", "n_tokens", "ids")
-    return rows.mapInArrow(_decoding(vocabulary_path), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary, decoded string")
+    return rows.mapInArrow(tidy(_decoding(vocabulary_path)), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.llm.common import Scratch, own_columns, table
+from tierstone.llm.common import Scratch, own_columns, table, tidy
 
 #: Buckets of the hashed n-grams of each length (as a power of two), their greatest length, pseudo-counts that pull a bucket's
 #: ratio to 1. Pairs (ORDER 2) cost three times the shuffle and told no more bad documents on the labelled tables.
@@ -137,7 +137,7 @@ def fit_ratios(docs: DataFrame, marks: DataFrame, scratch: Scratch, bits: int =
     text = F.col("text").cast("binary").alias("text")
     marked = docs.join(nearest(marks.where("good"), most_targets), F.col("id") == F.col("t_id"), "left").select(text, F.coalesce(F.col("t_part"), F.lit(0)).alias("part"))
     schema = ", ".join(f"{c} long" for c in ["bucket", "raw", *_TARGETS])
-    counts = marked.mapInArrow(_counted(bits, order), schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["raw", *_TARGETS]])
+    counts = marked.mapInArrow(tidy(_counted(bits, order)), schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["raw", *_TARGETS]])
     counts = scratch.save(counts.withColumn("target", sum(map(F.col, _TARGETS))), "counts")
     share = median_share(counts)
     if share is None:
@@ -154,7 +154,7 @@ def fit_ratios(docs: DataFrame, marks: DataFrame, scratch: Scratch, bits: int =
     by_part = {p: (target - rows.column(t).to_numpy()).astype(np.int32) for p, t in enumerate(_TARGETS, 1)}
     tables = docs.sparkSession.sparkContext.broadcast((buckets.astype(np.int32), raw, by_part, {p: share * rest[p] for p in by_part}))
     tried = docs.join(nearest(marks, most_tried), F.col("id") == F.col("t_id")).select(text, "t_part", "good")
-    tried = tried.mapInArrow(_tried(tables, bits, order, STEP, REACH, smooth, sures), "part long, good boolean, choice long, b long, n long").groupBy("part", "good", "choice", "b").agg(F.sum("n").alias("n")).collect()
+    tried = tried.mapInArrow(tidy(_tried(tables, bits, order, STEP, REACH, smooth, sures)), "part long, good boolean, choice long, b long, n long").groupBy("part", "good", "choice", "b").agg(F.sum("n").alias("n")).collect()
     costs = []
     for choice, sure in enumerate(sures):
         each = [_best({r["b"]: r["n"] for r in tried if (r["part"], r["choice"]) == (p, choice) and r["good"]}, {r["b"]: r["n"] for r in tried if (r["part"], r["choice"]) == (p, choice) and not r["good"]}) for p in by_part]
@@ -201,7 +201,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     buckets, values, _ = fit_ratios(base, marks.where("part > 0"), scratch)
     ratios = spark.sparkContext.broadcast((buckets, values))
     id_type = dict(base.dtypes)["id"]
-    scored = base.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_scored(ratios, BITS, ORDER), f"id {id_type}, n_grams long, log_weight double")
+    scored = base.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_scored(ratios, BITS, ORDER)), f"id {id_type}, n_grams long, log_weight double")
     u = (F.pmod(F.xxhash64(F.lit(seed), F.lit("gumbel"), "id"), F.lit(2**52)) + F.lit(0.5)) / F.lit(2.0**52)
     scored = scratch.save(scored.withColumn("key", F.col("log_weight") - noise * F.log(-F.log(u))), "scored")
     cut = _cut(scored, marks) if k is None else kth_largest(scored, "key", k)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.llm.common import Scratch, own_columns, table
+from tierstone.llm.common import Scratch, own_columns, table, tidy
 
 #: Words a shingle, and the similarity in percent that links.
 SHINGLE, PERCENT = 5, 80
@@ -37,8 +37,8 @@ CELL = 1024
 #: Slots stand in lanes of 16 bits, of which the upper two stay free for counting.
 _LANE = 16
 _LANES = 64 // _LANE
-#: Orders in which buckets draw heads; bytes of sets that a confirming task remembers.
-HEADS, REMEMBERED = 24, 64 << 20
+#: Orders in which buckets draw heads; bytes of sets that a confirming task remembers, and pairs whose texts it unpacks at once.
+HEADS, REMEMBERED, PAIRS = 24, 32 << 20, 256
 _SEED = np.random.default_rng(20240229)
 _MUL = _SEED.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, SLOTS, dtype=np.uint64)
@@ -157,13 +157,14 @@ def _confirmed(n: int, percent: int):
                 held += sets[key].nbytes + len(text) + 200
             return sets[key]
 
-        for batch in batches:
-            ok = []
-            for u, v, tu, tv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = of(u, tu), of(v, tv)
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for batch in (whole.slice(i, PAIRS) for i in range(0, whole.num_rows, PAIRS)):
+                ok = []
+                for u, v, tu, tv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    a, b = of(u, tu), of(v, tv)
+                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                    ok.append(100 * both >= percent * (len(a) + len(b) - both))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return confirm
 
@@ -269,7 +270,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, scr
     small = ids.count() <= BROADCAST_IDS
     needed = scratch.save(texts.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     both = pairs.join(needed.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v").join(needed.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-    out = scratch.save(both.select("u", "v", "tu", "tv").mapInArrow(_confirmed(shingle, percent), "u long, v long").distinct(), "links")
+    out = scratch.save(both.select("u", "v", "tu", "tv").mapInArrow(tidy(_confirmed(shingle, percent)), "u long, v long").distinct(), "links")
     scratch.drop(ids, needed)
     return out
 
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = scratch or Scratch(docs.sparkSession, "neardup")
     texts = own_columns(docs, {"id": id_col, "text": text_col}).select(F.col("id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    signed = scratch.save(texts.mapInArrow(_signed(shingle), _SIGNED), "signed")
+    signed = scratch.save(texts.mapInArrow(tidy(_signed(shingle)), _SIGNED), "signed")
     usable = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     sets = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig"))
     sets = scratch.save(sets, "sets")
@@ -311,11 +312,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = scratch.save(mixed.select(F.col("rep").alias("id")).distinct(), "crowd")
     few = crowd.count() <= BROADCAST_IDS
     crowded = texts.join(F.broadcast(crowd) if few else crowd, "id", "left_semi").dropDuplicates(["id", "text"]).select("text")
-    sketches = scratch.save(crowded.mapInArrow(_sketched(shingle), "digest binary, sketch array<long>").dropDuplicates(["digest"]), "sketches")
+    sketches = scratch.save(crowded.mapInArrow(tidy(_sketched(shingle)), "digest binary, sketch array<long>").dropDuplicates(["digest"]), "sketches")
     # a bucket's members are dealt into blocks, and each two blocks meet in a cell of their own: no task takes a whole bucket
-    sized = mixed.join(sets.select("digest", "n", "sig"), "digest").join(sketches, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    # a row a member is described before its rows of all buckets meet it: one join of them all
+    described = sets.select("digest", "n", "sig").join(sketches, "digest")
+    sized = mixed.join(described, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     cells = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rest = cells.select(*_CELL).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_paired(percent), "u long, v long")
+    rest = cells.select(*_CELL).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_paired(percent)), "u long, v long")
     rest = scratch.save(rest.join(tried, ["u", "v"], "left_anti"), "rest")
     last = _confirm(rest, texts, shingle, percent, scratch)
 
