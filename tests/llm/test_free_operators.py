@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkFiles
 from tokenizers import Tokenizer
 
 from tests.conftest import same
@@ -309,6 +310,22 @@ def test_what_is_remembered_is_bounded(monkeypatch):
         assert len(encoder.known) < 400 and len(encoder.before) < 400
 
 
+def test_driver_holds_no_vocabulary_while_compiling(spark, monkeypatch):
+    """A task compiles the lexicon: what the driver's process would take for it stays with it for all later stages of a pipeline."""
+    docs = frame(spark, [(i, t) for i, t in enumerate(["a bb ccc a bb", None, "", "naïve 12 " * 9])])
+
+    def refuse(*_):
+        raise AssertionError("in the driver")
+
+    monkeypatch.setattr(bpe.Vocabulary, "__init__", refuse)
+    name = bpe.compile_lexicon(docs, BYTE)
+    lexicon = bpe.Lexicon(SparkFiles.get(name))
+    assert (lexicon.ranks([b" bb", " naïve".encode(), b" 12"]) >= 0).all() and lexicon.ranks([b" zz"])[0] == -1
+    assert lexicon.of(lexicon.ranks([b" bb"])[0]) == np.array(Tokenizer.from_file(BYTE).encode(" bb", add_special_tokens=False).ids, "<u4").tobytes()
+    empty = bpe.Lexicon(SparkFiles.get(bpe.compile_lexicon(docs.where("false"), BYTE)))
+    assert not len(empty.arcs)
+
+
 def test_most_frequent_pieces(spark):
     rng = random.Random(6)
     rows = [(f"p{i}", rng.choice([1, 1, 1, 2, 3, 50, 51, 10**12 + i])) for i in range(2000)]

@@ -292,12 +292,14 @@ class Lexicon:
             "ids": np.array(flat, np.int64),
         }
 
+    @classmethod
+    def pack(cls, arrays: dict[str, np.ndarray]) -> bytes:
+        return b"".join([np.array([len(arrays[n]) for n in cls.NAMES], np.int64).tobytes(), *(arrays[n].tobytes() for n in cls.NAMES)])
+
     @classmethod
     def write(cls, path: str, arrays: dict[str, np.ndarray]) -> None:
         with open(path, "wb") as f:
-            np.array([len(arrays[n]) for n in cls.NAMES], np.int64).tofile(f)
-            for n in cls.NAMES:
-                arrays[n].tofile(f)
+            f.write(cls.pack(arrays))
 
     def __init__(self, path: str):
         all_ = np.memmap(path, np.int64, "r").view(np.ndarray)  # of the mapped pages still, without the subclass's cost
@@ -439,31 +441,55 @@ def _counting(path: str):
     return count
 
 
-def most_frequent(counts: DataFrame, size: int) -> list[str]:
-    """The most frequent pieces, `size` at most. Counts fall into bins of a 64th of a power of two, and whole bins enter while they fit, so the driver gathers a line a bin (some 4,000 at most) and what it keeps."""
-    level = F.floor(F.log2("n") * 64)
+#: The bin of a count, in SQL, for an expression needs a session.
+_LEVEL = "floor(log2(n) * 64)"
+
+
+def _least_level(counts: DataFrame, size: int) -> int | None:
     least, left = None, size
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+    for r in sorted(counts.groupBy(F.expr(_LEVEL).alias("level")).count().collect(), reverse=True):
         if r["count"] > left:
             break
         least, left = r["level"], left - r["count"]
-    return [] if least is None else [r["piece"] for r in counts.where(level >= least).select("piece").collect()]
+    return least
+
+
+def frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The most frequent pieces, `size` at most. Counts fall into bins of a 64th of a power of two, and whole bins enter while they fit, so the driver gathers a line a bin (some 4,000 at most)."""
+    least = _least_level(counts, size)
+    return counts.where("false" if least is None else f"{_LEVEL} >= {least}").select("piece")
+
+
+def most_frequent(counts: DataFrame, size: int) -> list[str]:
+    return [r["piece"] for r in frequent(counts, size).collect()]
+
+
+def _compiling(path: str):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(path)
+        words = [p.encode() for batch in batches for p in batch.column(0).to_pylist()]
+        arrays = Lexicon.build({w: np.frombuffer(ids, "<u4").tolist() for w, ids in zip(words, vocabulary.merge_all(words), strict=True)})
+        yield pa.RecordBatch.from_arrays([pa.array([Lexicon.pack(arrays)], pa.binary())], ["file"])
+
+    return build
 
 
 def compile_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text", size: int = LEXICON) -> str:
-    """Counts the pieces of every text, compiles the most frequent ones, hands the file to the executors, and returns its name there."""
+    """Counts the pieces of every text, compiles the most frequent ones, hands the file to the executors, and returns its name there.
+
+    One task compiles them (`size` at most), so the driver holds neither words nor vocabulary: it sees the file, some 5 MB, and no more.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lexicon")
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(_counting(vocabulary_path)), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
-    words = [p.encode() for p in most_frequent(counts, size)]
+    made = frequent(counts, size).repartition(1).mapInArrow(tidy(_compiling(vocabulary_path)), "file binary").first()
     scratch.drop(counts)
-    vocabulary = Vocabulary(vocabulary_path)
-    arrays = Lexicon.build({w: np.frombuffer(ids, "<u4").tolist() for w, ids in zip(words, vocabulary.merge_all(words), strict=True)})
     # Spark's file distribution takes it from the driver whenever an executor starts, so it stays until the driver ends
     folder = tempfile.mkdtemp(prefix="lexicon-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")
-    Lexicon.write(path, arrays)
+    with open(path, "wb") as f:
+        f.write(made["file"] if made else Lexicon.pack(Lexicon.build({})))
     spark.sparkContext.addFile(path)
     return os.path.basename(path)
 
