@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import same
 from tests.llm.test_native_operators import HARD, frame
-from tierstone.llm import bpe, importance, near_dup, range_coder, warc
+from tierstone.llm import bpe, importance, native, near_dup, range_coder, warc
 from tierstone.llm.common import Scratch, table, tidy
 
 BYTE, WORD = bpe.vocabulary("byte_bpe_50k.json"), bpe.vocabulary("word_bpe_49k.json")
@@ -326,6 +326,22 @@ def test_driver_holds_no_vocabulary_while_compiling(spark, monkeypatch):
     assert not len(empty.arcs)
 
 
+def test_texts_walk_in_the_jvm(spark):
+    """Workers in Python get only what the walk leaves; ids are the library's either way."""
+    library, rng = Tokenizer.from_file(BYTE), random.Random(5)
+    plain = [*"abtsdmevrl'  \n\n\t\r.,;-_0189éñßЖя中文한\xa0\u2014²½", " ’", "'ll", "'re", "the ", " andreeser"]
+    odd = ["\u3000", "\U00010940", "ॐ", "\x1c", "<|endoftext|>"]
+    texts = ["".join(rng.choices(plain, k=rng.randint(0, 60))) for _ in range(1500)] + [c + "a" for c in "'sdm"] + ["x" * n for n in (63, 64, 65, 255, 256)] + ["", " ", "'", "a'", " 's's", "é" * 128]
+    left = ["".join(rng.choices(plain + odd, k=40)) for _ in range(300)] + ["x" * n for n in (257, 3000)] + TEXTS
+    docs = frame(spark, [*enumerate(texts + left)])
+    name = bpe.compile_lexicon(docs, BYTE)
+    walked = docs.selectExpr("doc_id", f"{native.function(spark, 'Ids', 'binary')}(CAST(text AS BINARY), '{name}/{name}.rules') AS ids").collect()
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts + left, add_special_tokens=False)]
+    assert not [(texts + left)[r["doc_id"]] for r in walked if r["ids"] != want[r["doc_id"]] and (r["doc_id"] < len(texts) or r["ids"] is not None)]
+    assert any(r["ids"] is None for r in walked)
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode_documents(docs, BYTE, lexicon=name).collect()} == dict(enumerate(want))
+
+
 def test_most_frequent_pieces(spark):
     rng = random.Random(6)
     rows = [(f"p{i}", rng.choice([1, 1, 1, 2, 3, 50, 51, 10**12 + i])) for i in range(2000)]

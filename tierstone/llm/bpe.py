@@ -1,8 +1,11 @@
 """Byte-level BPE with a minimal acyclic transducer as lexicon.
 
 The corpus's most frequent pieces and their ids are compiled into an automaton whose states share suffixes; its arcs carry
-outputs that add up to a word's rank, under which its ids stand. Workers map the file into memory, one copy a machine. Pieces
-that it does not have are merged exactly by the vocabulary's rules, so the lexicon decides speed and never results.
+outputs that add up to a word's rank, under which its ids stand. Pieces that it does not have are merged exactly by the
+vocabulary's rules, so the lexicon decides speed and never results.
+
+Texts walk it in the executors' JVM (Ids.java). What that leaves, such as special tokens, characters on which Unicode tables differ
+and very long pieces, goes to the same steps in Python, where workers map the file into memory.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierstone.llm import native
 from tierstone.llm.common import Scratch, give_back, own_columns, table, tidy
 
 #: Pieces in the lexicon at most; the longest piece in bytes that may enter it, or be merged along with others.
@@ -159,6 +163,14 @@ class Vocabulary:
                 pair = np.flatnonzero((left >= 0) & (left < n - 1))
                 ranks[pair, left[pair]] = self.rank(ids[pair, left[pair]], ids[pair, left[pair] + 1])
 
+    def rules(self) -> bytes:
+        """What Ids.java needs beside the lexicon: kinds of characters, ids of bytes, merges in their order, special tokens; their lengths come first."""
+        order = np.empty_like(self._ranks)
+        order[self._ranks] = np.arange(len(order))
+        merges = np.stack([self._keys[order] >> 32, self._keys[order] & 0xFFFFFFFF, self._merged], axis=1).ravel()
+        arrays = [kinds(), self.single, merges, np.frombuffer(b"".join(t.encode() + b"\0" for t in self.special), np.uint8)]
+        return np.concatenate([[len(a) for a in arrays], *arrays]).astype("<i8").tobytes()
+
     def spell(self, ids: np.ndarray) -> bytes:
         start = self._starts[ids]
         size = self._starts[ids + 1] - start
@@ -226,6 +238,16 @@ class Vocabulary:
         return [part[a:b] for _, (a, b) in self._library.pre_tokenize_str(part)]
 
 
+def kinds() -> np.ndarray:
+    """Of each code point below 65,536: 1 for letters, 2 for numbers, 3 for white space, 4 for others; 0 if only the library may cut a text that has it."""
+    out = np.full(1 << 16, 4, np.int64)
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(1 << 16))
+    for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\s"), (0, _SAME.pattern)):
+        out[[m.start() for m in regex.finditer(pattern, every)]] = kind
+    out[0xD800:0xE000] = 0
+    return out
+
+
 class Lexicon:
     """The transducer as flat arrays in one file: arcs sorted by state and byte, their ends and outputs; final states; ids by rank."""
 
@@ -467,9 +489,9 @@ def most_frequent(counts: DataFrame, size: int) -> list[str]:
 def _compiling(path: str):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path)
-        words = [p.encode() for batch in batches for p in batch.column(0).to_pylist()]
+        words = [p.encode() for batch in batches for p in batch.column(0).to_pylist() if p is not None]
         arrays = Lexicon.build({w: np.frombuffer(ids, "<u4").tolist() for w, ids in zip(words, vocabulary.merge_all(words), strict=True)})
-        yield pa.RecordBatch.from_arrays([pa.array([Lexicon.pack(arrays)], pa.binary())], ["file"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (Lexicon.pack(arrays), vocabulary.rules())], ["lexicon", "rules"])
 
     return build
 
@@ -477,26 +499,29 @@ def _compiling(path: str):
 def compile_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text", size: int = LEXICON) -> str:
     """Counts the pieces of every text, compiles the most frequent ones, hands the file to the executors, and returns its name there.
 
-    One task compiles them (`size` at most), so the driver holds neither words nor vocabulary: it sees the file, some 5 MB, and no more.
+    One task compiles them (`size` at most), so the driver holds neither words nor vocabulary: it sees the files, some 7 MB, and no more.
+    The rules of the vocabulary go along as a second file, whose name ends in .rules.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lexicon")
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(_counting(vocabulary_path)), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
-    made = frequent(counts, size).repartition(1).mapInArrow(tidy(_compiling(vocabulary_path)), "file binary").first()
+    one = spark.range(1).select(F.lit(None).cast("string").alias("piece"))  # a task runs even if there is no piece
+    made = frequent(counts, size).union(one).repartition(1).mapInArrow(tidy(_compiling(vocabulary_path)), "lexicon binary, rules binary").first()
     scratch.drop(counts)
     # Spark's file distribution takes it from the driver whenever an executor starts, so it stays until the driver ends
     folder = tempfile.mkdtemp(prefix="lexicon-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")
-    with open(path, "wb") as f:
-        f.write(made["file"] if made else Lexicon.pack(Lexicon.build({})))
-    spark.sparkContext.addFile(path)
+    for to, what in ((path, made["lexicon"]), (f"{path}.rules", made["rules"])):
+        with open(to, "wb") as f:
+            f.write(what)
+        spark.sparkContext.addFile(to)
     return os.path.basename(path)
 
 
-def _parts_of(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about BATCH bytes in column `at`, so that what is made of them stays small."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+def _parts_of(batch: pa.RecordBatch, *at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about BATCH bytes in those columns, so that what is made of them stays small."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in at)
     share = np.cumsum(sizes) // BATCH
     cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -508,17 +533,22 @@ def _decoded(vocabulary: Vocabulary, ids: list[bytes | None]) -> pa.Array:
     return pa.array([vocabulary.spell(np.frombuffer(i or b"", "<u4").astype(np.int64)).decode("utf-8", "replace") for i in ids], pa.string())
 
 
-def _encoding(path: str, lexicon: str, decode: bool):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(path)
-        encoder = Encoder(vocabulary, Lexicon(SparkFiles.get(lexicon)))
+def _finishing(path: str, lexicon: str, decode: bool):
+    """Rows of doc_id, text and ids: texts that came without ids are encoded."""
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, encoder = _vocabulary(path), None
         for whole in batches:
-            for batch in _parts_of(whole, 1):
-                ids = encoder.encode_all([t or "" for t in batch.column(1).to_pylist()])
+            for batch in _parts_of(whole, 1, 2):
+                ids = batch.column(2).to_pylist()
+                if left := [i for i, x in enumerate(ids) if x is None]:
+                    encoder = encoder or Encoder(vocabulary, Lexicon(SparkFiles.get(lexicon)))
+                    for i, x in zip(left, encoder.encode_all([batch.column(1)[i].as_py() or "" for i in left]), strict=True):
+                        ids[i] = x
                 made = [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*made, *([_decoded(vocabulary, ids)] if decode else [])], ["doc_id", "n_tokens", "ids", *(["decoded"] if decode else [])])
 
-    return encode
+    return finish
 
 
 def _decoding(path: str):
@@ -539,7 +569,9 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     """
     name = lexicon or compile_lexicon(docs, vocabulary_path, text_col)
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col})
-    return rows.mapInArrow(tidy(_encoding(vocabulary_path, name, decode)), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary" + ", decoded string" * decode)
+    walk = native.function(docs.sparkSession, "Ids", "binary")
+    walked = rows.withColumn("ids", F.expr(f"{walk}(CAST(text AS BINARY), '{name}/{name}.rules')")).select("doc_id", F.expr("IF(ids IS NULL, text, NULL)").alias("text"), "ids")
+    return walked.mapInArrow(tidy(_finishing(vocabulary_path, name, decode)), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary" + ", decoded string" * decode)
 
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
