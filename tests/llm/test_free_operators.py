@@ -481,3 +481,35 @@ def test_empty_token_file(spark):
 def test_op8(spark, sf_dir):
     got = range_coder.op8_context_mixing(spark, sf_dir).orderBy("doc_id").collect()
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))] and len(got) == 200
+
+
+def test_coder_writes_the_same_bytes(spark):
+    rng = np.random.default_rng(2)
+    blocks = [b[:n] for b, n in ((rng.zipf(1.3, 4096) % 49408, 4096), (rng.integers(0, 65536, 3000), 2500), (np.tile(rng.integers(0, 49408, 40), 100), 4000), (np.full(4096, 65535), 4096), (np.zeros(1025, np.int64), 1025), (np.array([2]), 1))]
+    coder = native.function(spark, "Coder", "binary")
+    df = spark.createDataFrame([(i, b.astype("<u2").tobytes(), len(b)) for i, b in enumerate(blocks)], "i int, ids binary, n long").selectExpr("i", "n", f"{coder}(ids, -1L) AS payload").selectExpr("i", "payload", f"{coder}(payload, n) AS ids")
+    got = df.orderBy("i").collect()
+    assert [bytes(r["payload"]) for r in got] == range_coder.encode_blocks(blocks)
+    assert [bytes(r["ids"]) for r in got] == [b.astype("<u4").tobytes() for b in blocks]
+
+
+def test_words_walk_in_the_jvm(spark):
+    library, encoder = Tokenizer.from_file(WORD), range_coder.WordEncoder(WORD)
+    plain = ["It's THE ÉTÉ Œuvre don't 'RE!'s we'Ll 3.14 x²", "naïve — “ok”… ¿qué? 5€ ŸŉĿ", "a" * 256 + " " + "é" * 128, "'", "''s 's's'd", "tab\tline\nreturn\r end ", "", " "]
+    left = ["İ", "é a", "<|endoftext|>x", "a" * 257, "é" * 129, "x\x0by", "日本 語", "Σ ΑΣ", "\U00010940", "a b ×", "\x00 \x7f"]
+    rng = random.Random(3)
+    mixed = ["".join(rng.choice("aBé'Ésßt .,-|<>7\n\t–’ re ll İ日") for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    rules = native.hand_out(spark, "words", range_coder.word_rules(WORD))
+    walk = native.function(spark, "Words", "binary")
+    texts = [*plain, *left, *mixed]
+    got = [bytes(r[0]) for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").selectExpr(f"{walk}(CAST(text AS BINARY), '{rules}')").collect()]
+    assert [ids.tolist() for ids in encoder.complete(got)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    whole = [len(g) == 4 + 2 * int.from_bytes(g[:4], "little") for g in got]
+    assert sum(whole[: len(plain)]) == len(plain) - 1 and not whole[0] and not any(whole[len(plain) : len(plain) + len(left)])
+
+
+def test_op8_runs_no_model_in_workers(spark):
+    path = Scratch(spark, "t").path("file")
+    range_coder.write_token_file(frame(spark, [(1, "one"), (2, "two"), (3, "long " * 9000)]), path, WORD)
+    plan = range_coder.read_token_file(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "tierstone_coder" in plan

@@ -34,3 +34,14 @@ def function(spark: SparkSession, name: str, returns: str) -> str:
         _added[app] = compiler.getClassLoader().loadClass(f"tierstone.{name}").getDeclaredConstructors()[0].newInstance(None)
     spark._jsparkSession.udf().register(sql, _added[app], jvm.org.apache.spark.sql.types.DataType.fromDDL(returns))
     return sql
+
+
+def hand_out(spark: SparkSession, name: str, content: bytes) -> str:
+    """Hands a file to the executors, and returns its name there."""
+    # Spark's file distribution takes it from the driver whenever an executor starts, so it stays until the driver ends
+    folder = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}.bin")
+    Path(path).write_bytes(content)
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)

@@ -3,14 +3,19 @@
 A block holds at most BLOCK ids and is coded on its own: nothing is carried over from another, so a lost or damaged one costs
 no other, and its checksum tells. Predictions of order 0 (the block's own frequencies), order 1 and order 2 (what followed the
 last one or two ids before) are mixed, with weights that follow how often each came true, into the interval that an
-arithmetic coder narrows. Blocks of a task are coded in step, a numpy operation for all of them at once.
+arithmetic coder narrows. The executors' JVM codes and decodes blocks, an id at a time (Coder.java). encode_blocks and decode_blocks
+take the same steps for many blocks at once, to read and write payloads without Spark; the bytes are the same.
 
-File format: Parquet rows (shard, block, first, n, segments, payload). Payload: little-endian 16-bit words of the coder, and
-checksum is the CRC-32 of the block's ids as 32-bit integers. segments tells the documents that the ids belong to.
+Plain chunks of text (ASCII, Latin letters, some punctuation) are cut and merged in the JVM as the vocabulary's file has it
+(Words.java). All others, and those with pieces over 256 bytes or what may be a special token, are encoded by the tokenizers library.
+
+File format: Parquet rows (shard, block, first, n, checksum, segments, payload). Payload: little-endian 16-bit words of the coder, and
+checksum is the CRC-32 of the block's ids as 32-bit integers. segments tells the documents that the ids belong to, and where theirs begin.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,11 +24,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierstone.llm.bpe import vocabulary
-from tierstone.llm.common import Scratch, own_columns, table
+from tierstone.llm import native
+from tierstone.llm.bpe import byte_letters, vocabulary
+from tierstone.llm.common import Scratch, let, own_columns, table, tidy
 
 #: Ids a block; blocks coded in step at most; ids between two updates of order 0; weight of a seen id against an unseen one.
 BLOCK, LANES, REFRESH, SEEN = 4096, 1024, 1024, 32
@@ -31,6 +37,8 @@ BLOCK, LANES, REFRESH, SEEN = 4096, 1024, 1024, 32
 ORDER1, ORDER2, ODDS = 2048, 4096, 240
 #: Ids are below this; chunks of text that a task remembers, and the longest in characters that it does; documents' end.
 IDS, REMEMBERED, LONG_CHUNK, END = 1 << 16, 100_000, 256, 2
+#: What stands for a chunk that Words.java left; documents that are completed at once.
+HOLE, TOGETHER = 0xFFFF, 256
 _WINDOW, _SETTLED, _FLOOR = np.uint64((1 << 48) - 1), np.uint64(32), np.uint64(1 << 28)
 _U = np.uint64
 
@@ -235,7 +243,7 @@ class _Writer:
         for i in range(0, len(ids), BLOCK):
             piece = ids[i : i + BLOCK]
             self.ids.append(piece)
-            self.parts.append({"doc_id": doc_id, "part": i // BLOCK, "parts": -(-len(ids) // BLOCK), "n": len(piece)})
+            self.parts.append({"doc_id": doc_id, "part": i // BLOCK, "parts": -(-len(ids) // BLOCK), "at": self.n, "n": len(piece)})
             self.n += len(piece)
             if len(ids) > BLOCK:
                 self.close()
@@ -247,8 +255,8 @@ class _Writer:
         self.ids, self.parts, self.n = [], [], 0
 
 
-_SEGMENTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("n", pa.int64())]))
-_FILE = "shard int, block long, first long, n long, checksum long, segments array<struct<doc_id:long,part:long,parts:long,n:long>>, payload binary"
+_SEGMENTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))
+_FILE = "shard int, block long, first long, n long, checksum long, segments array<struct<doc_id:long,part:long,parts:long,at:long,n:long>>, ids binary"
 
 
 def chunks(text: str) -> list[str]:
@@ -269,7 +277,10 @@ class WordEncoder:
         self.forget()
 
     def encode(self, text: str) -> np.ndarray:
-        found = chunks(text)
+        return np.frombuffer(b"".join(self.each(chunks(text))), "<u2")
+
+    def each(self, found: list[str]) -> list[bytes]:
+        """Packed ids of each chunk."""
         if len(self.known) > REMEMBERED:
             # what has been met since the last time stays
             self.known, self.before = {"": b""}, self.known
@@ -278,7 +289,22 @@ class WordEncoder:
         new = list(met.difference(self.before))
         fresh = {c: np.array(got.ids, "<u2").tobytes() for c, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
         self.known |= {c: ids for c, ids in fresh.items() if len(c) <= LONG_CHUNK}
-        return np.frombuffer(b"".join([fresh[c] if c in fresh else self.known[c] for c in found] if fresh else map(self.known.__getitem__, found)), "<u2")
+        return [fresh[c] if c in fresh else self.known[c] for c in found] if fresh else list(map(self.known.__getitem__, found))
+
+    def complete(self, walked: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The ids of texts of which Words.java has encoded what is plain; the library encodes what it left."""
+        parts = [(w, 4 + 2 * int.from_bytes(w[:4], "little")) for w in (x or bytes(4) for x in walked)]
+        left = iter(self.each([c for w, at in parts if len(w) > at for c in w[at:].decode().split(" ")]))
+        for w, at in parts:
+            ids = np.frombuffer(w[4:at], "<u2")
+            if len(w) > at:
+                plain = w[4:at]
+                cuts = (2 * np.flatnonzero(ids == HOLE)).tolist()
+                pieces = [plain[: cuts[0]]]
+                for a, b in zip(cuts, [*cuts[1:], len(plain)], strict=True):
+                    pieces += [next(left), plain[a + 2 : b]]
+                ids = np.frombuffer(b"".join(pieces), "<u2")
+            yield ids
 
     def forget(self) -> None:
         self.known, self.before = {"": b""}, {}
@@ -301,16 +327,18 @@ def _writing(path: str):
             sizes = [len(b) for b in blocks]
             firsts = [first + s - n for s, n in zip(np.cumsum(sizes).tolist(), sizes, strict=True)]
             sums = [zlib.crc32(b.astype("<u4").tobytes()) for b in blocks]
-            out = [[shard] * len(blocks), range(block, block + len(blocks)), firsts, sizes, sums, about, encode_blocks(blocks)]
+            out = [[shard] * len(blocks), range(block, block + len(blocks)), firsts, sizes, sums, about, [b.tobytes() for b in blocks]]
             first, block = first + sum(sizes), block + len(blocks)
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), _SEGMENTS, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["shard", "block", "first", "n", "checksum", "segments", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["shard", "block", "first", "n", "checksum", "segments", "ids"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer.add(doc_id, np.append(encoder.encode(text.as_py() or ""), np.uint16(END)))
-                while len(writer.blocks) >= LANES:
-                    yield flush()
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.complete(some.column(1).to_pylist()), strict=True):
+                    writer.add(doc_id, np.append(ids, np.uint16(END)))
+                    while len(writer.blocks) >= LANES:
+                        yield flush()
         writer.close()
         while writer.blocks:
             yield flush()
@@ -319,31 +347,44 @@ def _writing(path: str):
     return write
 
 
+def word_rules(path: str) -> bytes:
+    """What Words.java needs of a vocabulary: the ids of bytes within a piece and at its end, and the merges in their order."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, end = model["vocab"], model["end_of_word_suffix"]
+    letters = sorted(byte_letters().items(), key=lambda x: x[1])
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+    numbers = [*(vocab[c] for c, _ in letters), *(vocab[c + end] for c, _ in letters), *(i for a, b in pairs for i in (vocab[a], vocab[b], vocab[a + b]))]
+    return np.array(numbers, "<i8").tobytes()
+
+
+def _ruling(path: str):
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([word_rules(path)], pa.binary())], ["rules"])
+
+    return rule
+
+
 def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes every text's ids and the end id in ascending order of document ids. A null text has the end id alone; null ids come first, rows of equal ids in the order of their texts. An empty table gives an empty file."""
     rows = own_columns(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writing(tokenizer_path), _FILE).write.parquet(path)
-
-
-class DamagedBlock(ValueError):
-    """A block whose ids don't have its checksum."""
+    spark = docs.sparkSession
+    # a task reads the vocabulary, so the driver's process does not hold it
+    rules = native.hand_out(spark, "words", spark.range(1).coalesce(1).mapInArrow(tidy(_ruling(tokenizer_path)), "rules binary").first()["rules"])
+    words, coder = native.function(spark, "Words", "binary"), native.function(spark, "Coder", "binary")
+    walked = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", F.expr(f"{words}(CAST(text AS BINARY), '{rules}')").alias("walked"))
+    blocks = walked.mapInArrow(tidy(_writing(tokenizer_path)), _FILE)
+    blocks.select("shard", "block", "first", "n", "checksum", "segments", F.expr(f"{coder}(ids, -1L)").alias("payload")).write.parquet(path)
 
 
-def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, LANES):
-            rows = batch.slice(i, LANES).to_pylist()
-            out = []
-            for row, ids in zip(rows, decode_blocks([r["payload"] for r in rows], [r["n"] for r in rows]), strict=True):
-                if zlib.crc32(ids.astype("<u4").tobytes()) != row["checksum"]:
-                    raise DamagedBlock(f"shard {row['shard']}, block {row['block']}")
-                at = 0
-                for s in row["segments"]:
-                    out.append((row["shard"], row["block"], row["first"] + at, s["doc_id"], s["part"], s["parts"], s["n"], ids[at : at + s["n"]].astype("<u4").tobytes()))
-                    at += s["n"]
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "block", "at", "doc_id", "part", "parts", "n", "ids"])
+def _documents(coder: str) -> Column:
+    """Of each block: the documents of its segments with their ids, after its checksum has been compared. A damaged one ends the query."""
+    damaged = F.expr("CAST(raise_error(concat('DamagedBlock: shard ', shard, ', block ', block)) AS BINARY)")
+    cut = lambda ids, s: F.struct((F.col("first") + s["at"]).alias("at"), s["doc_id"].alias("doc_id"), s["part"].alias("part"), s["parts"].alias("parts"), s["n"].alias("n"), F.substring(ids, (4 * s["at"] + 1).cast("int"), (4 * s["n"]).cast("int")).alias("ids"))
+    # let() decodes a block once, however many segments it has
+    checked = let(F.expr(f"{coder}(payload, n)"), lambda ids: F.when(F.crc32(ids) == F.col("checksum"), ids).otherwise(damaged))
+    return let(checked, lambda ids: F.transform("segments", lambda s: cut(ids, s)))
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -358,7 +399,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
         offset = F.lit(0).cast("long")
     # a document that spans blocks has them to itself, so blocks of either kind are decoded once
     parted = F.col("segments")[0]["parts"] > 1
-    read = lambda kind: blocks.where(kind).mapInArrow(_reading, "shard int, block long, at long, doc_id long, part long, parts long, n long, ids binary").withColumn("start", offset + F.col("at"))
+    documents = _documents(native.function(spark, "Coder", "binary"))
+    read = lambda kind: blocks.where(kind).select("shard", "block", F.inline(documents)).withColumn("start", offset + F.col("at"))
     whole = read(~parted).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids")
     first = F.col("block") - F.col("part")
     gathered = read(parted).groupBy("shard", first.alias("head")).agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
