@@ -513,3 +513,12 @@ def test_op8_runs_no_model_in_workers(spark):
     range_coder.write_token_file(frame(spark, [(1, "one"), (2, "two"), (3, "long " * 9000)]), path, WORD)
     plan = range_coder.read_token_file(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "tierstone_coder" in plan
+
+
+def test_driver_gives_native_memory_back(spark, monkeypatch):
+    from tierstone.llm import common
+
+    assert common.give_back_driver(spark)
+    saved, own = [], common.give_back_driver
+    monkeypatch.setattr(common, "give_back_driver", lambda s: saved.append(own(s)))
+    assert Scratch(spark, "t").save(spark.range(3)).count() == 3 and saved == [True]

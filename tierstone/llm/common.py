@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        give_back_driver(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -68,6 +70,22 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> bool:
+    """The same in the driver's JVM, whose compilers and threads free much native memory that the C library keeps; False if this JVM has no command for it."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    try:
+        # by its public interface, for the bean server's own class is not open to calls from outside
+        kinds, values = new_array(jvm.java.lang.Class, 4), new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = of(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        of("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
+
+
 def tidy(of_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """of_batches, and after it what a task took goes back to the system: Spark keeps workers for tasks of other stages, whose memory adds to that of a whole pipeline."""
 
