@@ -116,3 +116,11 @@ def test_a_stream_has_no_more_state_stores_than_cores_and_leaves_the_settings(sp
     streamed(spark, log(spark), tmp_path)
     assert len([p for p in (tmp_path / "checkpoint/state/0").iterdir() if p.name.isdigit()]) == 3
     assert dict(spark.conf.getAll) == was
+
+
+def test_files_smaller_than_meant_are_taken_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "FILE_ROWS", 100)
+    n = stream.write_log(log(spark), f"file://{tmp_path}/log")
+    assert 3 <= n <= 4 and stream.files_for_batch(spark, f"file://{tmp_path}/log") == 1
+    n = stream.write_log(log(spark), f"file://{tmp_path}/small", file_rows=20)
+    assert n > 15 and stream.files_for_batch(spark, f"file://{tmp_path}/small") == n * 100 // 400

@@ -458,7 +458,7 @@ def q39b_stream_replay(spark, d):
     folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tierstone-')}"
     root = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream.write_log(V.full_commands(spark, d), f"{root}/log")
-    replies = stream.replay_stream(stream.read_commands(spark, f"{root}/log"))
+    replies = stream.replay_stream(stream.read_commands(spark, f"{root}/log", stream.files_for_batch(spark, f"{root}/log")))
     return stream.run_available(replies, f"{root}/replies", f"{root}/checkpoint").select("seq", "reply", "stored")
 
 

@@ -96,6 +96,12 @@ def write_log(commands: DataFrame, path: str, file_rows: int | None = None) -> i
     return len(files)
 
 
+def files_for_batch(spark: SparkSession, path: str) -> int:
+    """Files of a log that have some FILE_ROWS commands together: one, unless Spark was made to write more and smaller ones than write_log asked for."""
+    found = spark.read.parquet(path).agg(F.count_distinct("_metadata.file_path").alias("files"), F.count("*").alias("commands")).first()
+    return max(1, found["files"] * FILE_ROWS // max(1, found["commands"]))
+
+
 def read_commands(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
     """A stream of command files. Backpressure is the number of files a batch takes; none is ever shed."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
